@@ -67,4 +67,4 @@ def long_enough(c: Column | str, min_chars: int = MIN_TEXT_CHARS) -> Column:
 
 def fmt2(c: Column | str) -> Column:
     """Two decimals, rounding half to even on the binary value (not ``format_string``)."""
-    return F.format_number(_col(c), "0.00")
+    return F.call_function("format_number", _col(c), F.lit("0.00"))

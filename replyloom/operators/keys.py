@@ -52,13 +52,15 @@ def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 def join_gold_pred(golden: DataFrame, predictions: DataFrame, order_by_gold: Order,
                    order_by_pred: Order, key: str = "pair_id") -> DataFrame:
-    """Labels and predictions that share a key; the last row of a repeated key counts.
+    """Labels and predictions that share a key; the last row of a repeated key counts. A column
+    that both sides have is taken from the labels.
 
     Both sides are unique after :func:`last_by_key`, whose partitioning the join reuses.
     """
     g = last_by_key(golden, [key], order_by_gold)
     p = last_by_key(predictions, [key], order_by_pred)
-    return g.join(p, key, "inner")
+    shared = [c for c in p.columns if c in g.columns and c != key]
+    return g.join(p.drop(*shared), key, "inner")
 
 
 def require_overlap(joined: DataFrame) -> DataFrame:

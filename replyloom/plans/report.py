@@ -30,7 +30,7 @@ def held_out_predictions(joined: DataFrame, order_by: Order, text: str = "custom
                          train_share: float = K.HOLDOUT_TRAIN_SHARE) -> DataFrame | None:
     """Text baseline trained on the first rows and applied to the rest; None when the labels are
     too few or all alike."""
-    split = holdout_split(joined.select("pair_id", text, "gold_intent"), order_by, train_share)
+    split = holdout_split(joined, order_by, train_share)
     if not can_train(split):
         return None
     model = TextClassifier().fit(split.where("is_train"), text, "gold_intent")
@@ -50,7 +50,7 @@ def evaluation_report(golden: DataFrame, predictions: DataFrame, *,
                                           "top_similarity",
                                           *[c for c in order_by_pred if c != "pair_id"]),
                        order_by_gold, order_by_pred)))
-    held_out = held_out_predictions(joined, ("pair_id",)) if text_baseline else None
+    held_out = held_out_predictions(joined, order_by_gold) if text_baseline else None
     sections = [
         metric_rows(E.overlap_counts(golden, predictions), "overlap", "all"),
         metric_rows(E.compare_systems(joined, held_out=held_out), "intent_accuracy"),
