@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from replyloom.constants import TAXONOMY
+from replyloom.sources.io import read_parquet
 
 BRAND = "brand_0"          # writes more than a third of all replies
 
@@ -62,8 +63,13 @@ JUDGE_ANSWERS = (
 _NBSP = "\u00a0"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Tables whose rows take much work each (long texts).
+_HEAVY = ("documents", "conversations")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    return read_parquet(spark, path) if heavy or name in _HEAVY else spark.read.parquet(path)
 
 
 def pick(values, index: Column) -> Column:
@@ -145,13 +151,13 @@ tweets AS (
 def tweets_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Support messages from ``orders`` (customers) and ``lineitem`` (replies)."""
     key = F.col("o_orderkey")
-    customers = table(spark, sf_dir, "orders").select(
+    customers = table(spark, sf_dir, "orders", heavy=True).select(
         (key * 100).alias("tweet_id"), F.concat(F.lit("cust_"), "o_custkey").alias("author_id"),
         F.lit(True).alias("inbound"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"),
         F.concat_ws(" ", pick(PHRASES, key), "o_orderpriority", "o_orderstatus").alias("text"),
         F.lit(None).cast("bigint").alias("in_response_to_tweet_id"))
     part, reply_id = F.col("l_partkey"), F.col("l_orderkey") * 100 + F.col("l_linenumber")
-    replies = table(spark, sf_dir, "lineitem").select(
+    replies = table(spark, sf_dir, "lineitem", heavy=True).select(
         reply_id.alias("tweet_id"),
         F.concat(F.lit("brand_"), F.when(F.col("l_suppkey") % 3 == 0, 0)
                  .otherwise(F.col("l_suppkey") % 7)).alias("author_id"),

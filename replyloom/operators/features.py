@@ -29,13 +29,16 @@ def tokens(c: Column | str) -> Column:
 
 
 def ngrams(words: Column, sizes: Sequence[int] = (1, 2)) -> Column:
-    """All n-grams of the given sizes, as one array."""
+    """All n-grams of the given sizes, as one array, built by pairing shifted word arrays."""
     def of(n: int) -> Column:
         if n == 1:
             return words
         count = F.greatest(F.size(words) - (n - 1), F.lit(0))
-        return F.transform(F.slice(words, F.lit(1), count),
-                           lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+        out = F.slice(words, F.lit(1), count)
+        for shift in range(1, n):
+            out = F.zip_with(out, F.slice(words, F.lit(shift + 1), count),
+                             lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
     parts = [of(n) for n in sizes]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
@@ -52,11 +55,13 @@ def vocabulary(df: DataFrame, text: str = "text", size: int = K.TFIDF_VOCABULARY
     One pass: a document's terms are sorted inside the row, so the first of equal neighbours
     counts the document and every one counts the term.
     """
-    docs = _with_terms(df.select(text), text, sizes).select(F.array_sort("terms").alias("terms"))
-    flagged = F.transform("terms", lambda t, i: F.struct(
-        t.alias("term"),
-        F.when((i == 0) | (F.get("terms", i - 1) != t), 1).otherwise(0).alias("opens")))
-    top = (docs.select(F.inline(flagged))
+    docs = _with_terms(df.select(text), text, sizes).select(F.sort_array("terms").alias("terms"))
+    before = F.concat(F.array(F.lit(None).cast("string")),
+                      F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))))
+    flagged = F.zip_with("terms", before, lambda t, p: F.struct(
+        t.alias("term"), F.when(t == p, 0).otherwise(1).alias("opens")))
+    # The outer form keeps Spark from computing the arrays once more in an inferred filter.
+    top = (docs.select(F.inline_outer(flagged)).where("term IS NOT NULL")
            .groupBy("term").agg(F.count(F.lit(1)).alias("n_total"), F.sum("opens").alias("n_docs"))
            .orderBy(F.col("n_total").desc(), "term").limit(size))
     n_docs = df.count()
@@ -75,7 +80,7 @@ def tfidf(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if vocab is None:
         vocab = materialise(vocabulary(df, text, size, sizes))
     docs = _with_terms(df.select(doc_id, text).repartition(doc_id), text, sizes)
-    counted = (docs.select(doc_id, F.explode("terms").alias("term"))
+    counted = (docs.select(doc_id, F.explode_outer("terms").alias("term"))
                .join(F.broadcast(vocab.select("term", "idf")), "term")
                .groupBy(doc_id, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
                .withColumn("w", F.col("tf") * F.col("idf")))

@@ -62,7 +62,7 @@ def _parents(messages: DataFrame, replies: DataFrame, order_by: Order,
         "created_at",
         *order,
     )
-    wanted = replies.where(F.col("parent_id").isNotNull()).select("parent_id").distinct()
+    wanted = replies.where(F.col("parent_id").isNotNull()).select("parent_id")
     if wanted.limit(broadcast_ids + 1).count() <= broadcast_ids:
         candidates = candidates.join(
             F.broadcast(wanted), candidates.customer_tweet_id == wanted.parent_id, "left_semi")
@@ -156,7 +156,7 @@ def brand_biased_sample(messages: DataFrame, brand: str, n: int | None, order_by
         picked.drop("__pick").withColumn("__tier", F.lit(1)))
     if keep_parents:
         wanted = has_parent(brand_messages(messages, brand)).select(
-            F.col("in_response_to_tweet_id").alias("parent_id")).distinct()
+            F.col("in_response_to_tweet_id").alias("parent_id"))
         if wanted.limit(broadcast_ids + 1).count() <= broadcast_ids:
             wanted = F.broadcast(wanted)
         parents = messages.where(~is_brand).join(

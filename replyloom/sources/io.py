@@ -12,6 +12,26 @@ from replyloom.operators.keys import unprocessed
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
+# Inputs below this many bytes per core are redistributed when they come in fewer files than cores.
+SPREAD_BYTES_PER_CORE = 64 * 1024 * 1024
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Read Parquet; hand the rows of a small, few-file table out to all cores.
+
+    Spark cannot split a row group, so a small table often lands in one task and whatever is
+    computed per row runs on one core. Its size is checked first: a large table, or one of many
+    files, is read as it is and never shuffled here.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where)
+    if size.getFileCount() < cores and size.getLength() < SPREAD_BYTES_PER_CORE * cores:
+        return df.repartition(cores)
+    return df
+
+
 def read_messages_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Message CSV by header name, with declared types.
 
