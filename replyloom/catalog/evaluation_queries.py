@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from replyloom import constants as K
 from replyloom.catalog import views as V
 from replyloom.catalog.message_queries import keyword_sql
-from replyloom.catalog.registry import query, scratch
+from replyloom.catalog.registry import query
 from replyloom.operators import evaluate as E, features
 from replyloom.operators.keys import join_gold_pred, last_by_key
 from replyloom.operators.scoring import drafted_only
 from replyloom.plans.report import evaluation_report, held_out_predictions
+from replyloom.session import scratch_path
 from replyloom.sources import io
 
 # --- SQL fragments --------------------------------------------------------------------------
@@ -221,7 +222,7 @@ _REPORT_SQL = " UNION ALL ".join((
        (*_JOINED, _SYSTEMS, *_labels_ctes("systems", "gold_intent", "predicted", "system, ")))
 def s6(spark, sf_dir):
     """The report written as one JSON document, read back as rows (four of its sections)."""
-    path = scratch(spark, "report")
+    path = scratch_path(spark, "report")
     io.write_report(evaluation_report(
         V.golden(spark, sf_dir), V.predictions(spark, sf_dir), order_by_gold=("seq",),
         order_by_pred=V.PRED_ORDER, text_baseline=False), path)

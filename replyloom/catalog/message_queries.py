@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from replyloom import constants as K, schemas
 from replyloom.catalog import views as V
-from replyloom.catalog.registry import query, scratch
+from replyloom.catalog.registry import query
 from replyloom.functions import answers as A, prompts as P, rules as R, text as X
 from replyloom.operators import classify as C, pairs, sampling, scoring
 from replyloom.operators.keys import first_by_key, join_gold_pred, unprocessed
+from replyloom.session import scratch_path
 from replyloom.sources import io
 
 # --- SQL fragments -------------------------------------------------------------------------
@@ -76,7 +77,7 @@ _MESSAGE_COLS = ", ".join(schemas.MESSAGES.names)
 
 @query("s1_read_messages_csv", f"SELECT {_MESSAGE_COLS} FROM tweets", _TWEETS)
 def s1(spark, sf_dir):
-    path = scratch(spark, "messages-csv")
+    path = scratch_path(spark, "messages-csv")
     (V.tweets(spark, sf_dir).select(*schemas.MESSAGES.names).write
      .options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
               ignoreTrailingWhiteSpace=False).csv(path))
@@ -88,7 +89,7 @@ _PAIR_COLS = ", ".join(schemas.PAIRS.names)
 
 @query("s2_s3_jsonl_round_trip", f"SELECT {_PAIR_COLS} FROM pairs", _PAIRED)
 def s2(spark, sf_dir):
-    path = scratch(spark, "pairs-jsonl")
+    path = scratch_path(spark, "pairs-jsonl")
     io.write_jsonl(_pairs(spark, sf_dir), path, allow_empty=False)
     return io.read_jsonl(spark, path, schemas.PAIRS)
 
@@ -97,7 +98,7 @@ def s2(spark, sf_dir):
        f"SELECT pair_id, customer_text, '{K.DEFAULT_ENCODER}' AS model_name, "
        "round(list_sum(embedding), 6) AS vector_sum FROM corpus", (V.CORPUS_SQL,))
 def s4(spark, sf_dir):
-    path = scratch(spark, "corpus")
+    path = scratch_path(spark, "corpus")
     io.save_corpus(V.corpus(spark, sf_dir), path)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return io.load_corpus(spark, path).select(
@@ -110,7 +111,7 @@ def s4(spark, sf_dir):
        "THEN NULL ELSE pair_id END AS pair_id FROM corpus) UNION ALL SELECT CAST(NULL AS VARCHAR) "
        "FROM corpus WHERE vec_id % 37 = 0) GROUP BY pair_id", (*_PAIRED, V.CORPUS_SQL))
 def s5(spark, sf_dir):
-    path = scratch(spark, "append")
+    path = scratch_path(spark, "append")
     paired = _pairs(spark, sf_dir).select("pair_id")
     other = V.messages(spark, sf_dir).select("pair_id")
     for rows in (paired, other, paired.unionByName(other)):

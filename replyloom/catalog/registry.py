@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyloom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +21,3 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
             ORACLES[name] = ("WITH " + ",".join(ctes) if ctes else "") + "\n" + sql.strip()
         return fn
     return add
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder for queries that write and read back."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

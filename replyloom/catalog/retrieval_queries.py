@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from replyloom import constants as K
 from replyloom.catalog import views as V
 from replyloom.catalog.message_queries import CLASSIFIED_CTES, in_sql, reasons_sql
-from replyloom.catalog.registry import query, scratch
+from replyloom.catalog.registry import query
 from replyloom.operators import features, retrieve as R
 from replyloom.operators.keys import grounding_leak
 from replyloom.operators.scoring import draft_reply
 from replyloom.plans.triage import stored_answers, triage, triage_batch
 from replyloom.schemas import PREDICTIONS
+from replyloom.session import scratch_path
 from replyloom.sources import io
 from replyloom.streaming.triage_stream import triage_stream
 
@@ -202,7 +203,7 @@ def d9_default(spark, sf_dir):
 @query("d9_s5_triage_resumed", _triage_sql(_LOW_FLOOR), _TRIAGE)
 def d9_resumed(spark, sf_dir):
     """A run that stopped after the keyed rows of half of the clusters, then goes on."""
-    out = scratch(spark, "predictions")
+    out = scratch_path(spark, "predictions")
     messages, corpus = V.messages(spark, sf_dir), V.corpus(spark, sf_dir)
     started = messages.where("pair_id IS NOT NULL").join(
         V.table(spark, sf_dir, "embeddings").where("label < 5").select("vec_id"), "vec_id", "left_semi")
@@ -214,7 +215,7 @@ def d9_resumed(spark, sf_dir):
 @query("st1_triage_stream", _triage_sql(_LOW_FLOOR), _TRIAGE)
 def st1(spark, sf_dir):
     """The messages as a stream of files, one file per micro-batch."""
-    source, out, state = (scratch(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    source, out, state = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
     V.messages(spark, sf_dir).repartition(3, "vec_id").write.parquet(source)
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)

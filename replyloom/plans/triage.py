@@ -14,7 +14,7 @@ from replyloom.operators.retrieve import grounding, knn_exact, retrieve
 from replyloom.operators.scoring import Loader, draft_reply
 from replyloom.schemas import PREDICTIONS
 from replyloom.session import materialise
-from replyloom.sources.io import append_new, read_store
+from replyloom.sources.io import read_store
 
 Classifier = Callable[[DataFrame], DataFrame]
 
@@ -53,7 +53,9 @@ def triage(
     Classified rows are written once, because model answers are costly and both the search and
     the final rows start from them. Messages that are never drafted take no part in the search.
     """
-    done = materialise(classifier(messages).withColumn("query_id", _query_key()))
+    done = materialise(classifier(messages).select(
+        "pair_id", "customer_text", "embedding", "intent", "intent_confidence", "intent_rationale",
+        _query_key().alias("query_id")))
     gated = never_draft("intent", no_draft)
     queries = done.where(~gated).select(
         "query_id", F.col("customer_text").alias("message"),
@@ -85,4 +87,7 @@ def triage_batch(messages: DataFrame, corpus: DataFrame, classifier: Classifier,
     after an interruption goes on with what is missing."""
     stored = read_store(messages.sparkSession, out, PREDICTIONS, fmt)
     todo = unprocessed(messages, stored.select("pair_id"))
-    append_new(triage(todo, corpus, classifier, **options), out, fmt=fmt)
+    writer = triage(todo, corpus, classifier, **options).write.mode("append")
+    if fmt == "json":
+        writer = writer.option("ignoreNullFields", False)
+    writer.format(fmt).save(out)
