@@ -54,7 +54,7 @@ def resolve_intent(c: Column | str, taxonomy: Sequence[str] = K.TAXONOMY) -> Col
     return F.when(c.isin(*taxonomy), c).otherwise(F.lit(K.OTHER))
 
 
-def escalation_reasons(
+def decide_escalation(
     intent: Column | str,
     confidence: Column | str,
     similarity: Column | str,
@@ -63,30 +63,31 @@ def escalation_reasons(
     min_similarity: float = K.MIN_SIMILARITY,
     high_risk: Sequence[str] = K.HIGH_RISK_INTENTS,
 ) -> Column:
-    """Reasons that send a message to a human, in table order; empty when none applies."""
+    """``struct(escalate, escalation_reasons)``.
+
+    Reasons stand in table order (risk, confidence, similarity); one default reason when none
+    applies. A missing confidence or similarity counts as 0.
+    """
     intent = _col(intent)
     conf = F.coalesce(_col(confidence), F.lit(0.0))
     sim = F.coalesce(_col(similarity), F.lit(0.0))
-    return F.array_compact(F.array(
-        F.when(intent.isin(*high_risk),
-               F.concat(F.lit(K.REASON_HIGH_RISK[0]), intent, F.lit(K.REASON_HIGH_RISK[1]))),
-        F.when(conf < min_confidence,
-               F.concat(F.lit(K.REASON_CONFIDENCE[0]), fmt2(conf),
-                        F.lit(f"{K.REASON_CONFIDENCE[1]}{min_confidence}{K.REASON_CONFIDENCE[2]}"))),
-        F.when(sim < min_similarity,
-               F.concat(F.lit(K.REASON_SIMILARITY[0]), fmt2(sim),
-                        F.lit(f"{K.REASON_SIMILARITY[1]}{min_similarity}{K.REASON_SIMILARITY[2]}"))),
-    ))
-
-
-def decide_escalation(intent: Column | str, confidence: Column | str, similarity: Column | str,
-                      **limits) -> Column:
-    """``struct(escalate, escalation_reasons)``; one default reason when nothing applies."""
-    reasons = escalation_reasons(intent, confidence, similarity, **limits)
+    table = [
+        (F.coalesce(intent.isin(*high_risk), F.lit(False)),
+         F.concat(F.lit(K.REASON_HIGH_RISK[0]), intent, F.lit(K.REASON_HIGH_RISK[1]))),
+        (conf < min_confidence,
+         F.concat(F.lit(K.REASON_CONFIDENCE[0]), fmt2(conf),
+                  F.lit(f"{K.REASON_CONFIDENCE[1]}{min_confidence}{K.REASON_CONFIDENCE[2]}"))),
+        (sim < min_similarity,
+         F.concat(F.lit(K.REASON_SIMILARITY[0]), fmt2(sim),
+                  F.lit(f"{K.REASON_SIMILARITY[1]}{min_similarity}{K.REASON_SIMILARITY[2]}"))),
+    ]
+    escalate = reduce(lambda a, b: a | b, [test for test, _ in table])
+    none = F.array().cast("array<string>")
+    reasons = F.concat(*[F.when(test, F.array(text)).otherwise(none) for test, text in table])
     return F.struct(
-        (F.size(reasons) > 0).alias("escalate"),
-        F.when(F.size(reasons) > 0, reasons)
-        .otherwise(F.array(F.lit(K.REASON_AUTO))).alias("escalation_reasons"),
+        escalate.alias("escalate"),
+        F.when(escalate, reasons).otherwise(F.array(F.lit(K.REASON_AUTO)))
+        .alias("escalation_reasons"),
     )
 
 

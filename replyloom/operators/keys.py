@@ -15,6 +15,15 @@ def _cols(order: Order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters use.
+
+    Spark moves a filter below a plain projection and repeats the column's expression in it, once
+    per mention. It does not move filters below a generator, so the value is computed once.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
                 rank_col: str | None = None) -> DataFrame:
     """The ``k`` first rows per key. Spark limits each group map-side before the shuffle,
@@ -71,12 +80,17 @@ def require_overlap(joined: DataFrame) -> DataFrame:
 
 
 def unprocessed(df: DataFrame, done: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Rows of ``df`` whose key is not in ``done``. Rows without a key always pass, and take
-    no part in the shuffle, so many of them cannot pile up in one partition."""
-    no_key = F.col(key).isNull() | (F.col(key) == "")
-    stored = done.where(F.col(key).isNotNull() & (F.col(key) != "")).select(key)
-    return (df.where(~no_key).join(stored, key, "left_anti").select(*df.columns)
-            .unionByName(df.where(no_key)))
+    """Rows of ``df`` whose key is not in ``done``. Rows without a key always pass.
+
+    ``df`` is read once. Keyless rows travel under a hash of their content, so that many of them
+    do not pile up in the partition of the null key.
+    """
+    keyless = F.col(key).isNull() | (F.col(key) == "")
+    left = df.withColumn("__keyless", keyless).withColumn(
+        "__key", F.when(keyless, F.xxhash64(*df.columns).cast("string")).otherwise(F.col(key)))
+    right = done.where(~keyless).select(F.col(key).alias("__done"))
+    known = (left["__key"] == right["__done"]) & ~left["__keyless"]
+    return left.join(right, known, "left_anti").drop("__keyless", "__key")
 
 
 def grounding_leak(grounded_on: Column | str, pair_id: Column | str) -> Column:

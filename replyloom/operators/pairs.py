@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from replyloom.constants import BRAND_LIST_SIZE, MAX_FOREIGN_RATIO, MIN_TEXT_CHARS
 from replyloom.functions.text import clean_text, is_latin_script, long_enough
-from replyloom.operators.keys import Order, _cols, first_by_key, global_rank, lookup_join
+from replyloom.operators.keys import (Order, _cols, compute_once, first_by_key, global_rank,
+                                      lookup_join)
 
 # A set of 8-byte ids up to this many rows is small enough to send to every executor.
 BROADCAST_IDS = 2_000_000
@@ -43,7 +44,7 @@ def _replies(messages: DataFrame, brand: str) -> DataFrame:
     return brand_messages(messages, brand).select(
         F.col("tweet_id").alias("brand_tweet_id"),
         F.col("in_response_to_tweet_id").alias("parent_id"),
-        clean_text("text", is_reply=True).alias("brand_reply"),
+        F.col("text").alias("reply_text"),
     )
 
 
@@ -81,8 +82,10 @@ def join_parent(messages: DataFrame, brand: str, order_by: Order, how: str = "in
         # The first row decides, so this filter comes after the choice of that row.
         replies = replies.where(F.col("parent_id").isNotNull())
         parents = parents.where(parent_is_customer("parent_inbound"))
-    parents = parents.withColumn("customer_text", clean_text("parent_text")).drop("parent_text")
-    return lookup_join(replies, parents, "parent_id", "customer_tweet_id", how)
+    replies = compute_once(replies, "brand_reply", clean_text("reply_text", is_reply=True))
+    parents = compute_once(parents, "customer_text", clean_text("parent_text"))
+    return lookup_join(replies.drop("reply_text"), parents.drop("parent_text"), "parent_id",
+                       "customer_tweet_id", how)
 
 
 def pair_projection(joined: DataFrame) -> DataFrame:

@@ -50,10 +50,9 @@ def cluster_stratified_sample(
     measured = centroid_distance(df, cluster, vector)
     picks = top_per_key(df, [cluster], [seeded_hash(seed, row_id), F.col(row_id)], share)
     picks = materialise(picks.select(row_id))
-    # The picks hold at most k * share rows of one id each.
-    rest = measured.join(F.broadcast(picks), row_id, "left_anti")
+    rest = measured.join(picks, row_id, "left_anti")
     outliers = rest.orderBy(F.round("distance", 6).desc(), *_cols(order_by)).limit(n_outliers)
-    chosen = df.join(F.broadcast(picks), row_id, "left_semi").unionByName(outliers.select(*df.columns))
+    chosen = df.join(picks, row_id, "left_semi").unionByName(outliers.select(*df.columns))
     return chosen.orderBy(*_cols(order_by)).limit(n)
 
 
