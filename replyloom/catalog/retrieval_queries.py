@@ -143,6 +143,25 @@ def c4(spark, sf_dir):
     return out.select("pair_id", F.round(norm, 4).alias("norm"))
 
 
+_LETTERS = "aeinrst"
+
+
+@query("c4_embed_with_encoder", "SELECT doc_id, " + ", ".join(
+    f"round(CAST(CAST({c} / norm AS FLOAT) AS DOUBLE), 5) AS {c}" for c in _LETTERS) + " FROM (SELECT *, sqrt(1 + "
+    + " + ".join(f"{c} * {c}" for c in _LETTERS) + ") AS norm FROM (SELECT doc_id, " + ", ".join(
+        f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE) AS {c}" for c in _LETTERS)
+    + " FROM documents))")
+def c4_encoder(spark, sf_dir):
+    """A caller's encoder (letter counts and a constant) applied to whole documents."""
+    def encode(texts):
+        return [[float(t.count(c)) for c in _LETTERS] + [1.0] for t in texts]
+
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = features.embed(docs, features.encoder(encode, "text"), "text")
+    return out.select("doc_id", *[F.round(F.col("embedding")[i].cast("double"), 5).alias(c)
+                                  for i, c in enumerate(_LETTERS)])
+
+
 @query("c5_kmeans_cluster")
 def c5(spark, sf_dir):
     out, _ = features.kmeans_cluster(V.corpus(spark, sf_dir).select("pair_id", "embedding"), 10, starts=3)

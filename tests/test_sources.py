@@ -5,7 +5,9 @@ import json
 import pytest
 
 from replyloom import schemas
+from replyloom.operators.features import encoder
 from replyloom.plans.brand_pairs import csv_to_pairs
+from replyloom.plans.corpus import build_corpus
 from replyloom.sources import io
 
 CSV = '''tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id
@@ -69,6 +71,16 @@ def test_corpus_without_model_name_gets_the_default(spark, tmp_path):
     assert io.load_corpus(spark, str(tmp_path / "old"), "fallback").first()["model_name"] == "fallback"
 
 
+def test_pairs_to_corpus(spark, csv_path, tmp_path):
+    pairs, out = str(tmp_path / "pairs"), str(tmp_path / "corpus")
+    csv_to_pairs(spark, csv_path, "brand", pairs)
+    build_corpus(spark, pairs, out, encoder(lambda texts: [[3.0, 4.0] for _ in texts]), model_name="two")
+    corpus = io.load_corpus(spark, out)
+    assert corpus.schema.simpleString() == schemas.CORPUS.simpleString()
+    assert [(r["model_name"], [round(x, 4) for x in r["embedding"]]) for r in corpus.collect()] == [
+        ("two", [0.6, 0.8])] * 2
+
+
 @pytest.mark.parametrize("fmt", ["json", "parquet"])
 def test_append_twice_is_once(spark, tmp_path, fmt):
     path = str(tmp_path / "store")
