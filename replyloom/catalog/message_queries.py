@@ -559,8 +559,10 @@ _CLASS_COLS = ["pair_id", "intent", "intent_confidence", "intent_rationale", "so
 @query("d4_reconsider_other",
        "SELECT pair_id, intent, confidence, rationale, taken AS reconsidered FROM combined", CLASSIFIED_CTES)
 def d4(spark, sf_dir):
-    both = C.reconsider_other(A.parse_intent_json("first_answer"), A.parse_intent_json("second_answer"))
-    return V.corpus(spark, sf_dir).select("pair_id", both.alias("a")).select("pair_id", "a.*")
+    parsed = V.corpus(spark, sf_dir).select("pair_id", A.parse_intent_json("first_answer").alias("first"),
+                                            A.parse_intent_json("second_answer").alias("second"))
+    both = C.reconsider_other(F.col("first"), F.col("second"))
+    return parsed.select("pair_id", both.alias("a")).select("pair_id", "a.*")
 
 
 @query("d5_classify_stored_answers", f"SELECT {', '.join(_CLASS_COLS)} FROM classified", CLASSIFIED_CTES)

@@ -31,10 +31,11 @@ def resolve_answers(df: DataFrame, text: str, first_answer: str, second_answer:
                     taxonomy=K.TAXONOMY) -> DataFrame:
     """Intent columns from raw answers: rule, then answer, then second look, then taxonomy."""
     second = F.when(F.col(second_answer).isNotNull(), parse_intent_json(second_answer))
-    safe = safety_match(text)
     return (
-        df.withColumn("__a", reconsider_other(parse_intent_json(first_answer), second, taxonomy))
-        .withColumn("__safe", safe)
+        # Each answer is parsed in a step of its own, so its text is read once.
+        df.withColumns({"__first": parse_intent_json(first_answer), "__second": second,
+                        "__safe": safety_match(text)})
+        .withColumn("__a", reconsider_other(F.col("__first"), F.col("__second"), taxonomy))
         .withColumn("intent", F.when(F.col("__safe"), K.SAFETY)
                     .otherwise(resolve_intent("__a.intent", taxonomy)))
         .withColumn("intent_confidence", F.when(F.col("__safe"), 1.0)
@@ -43,7 +44,7 @@ def resolve_answers(df: DataFrame, text: str, first_answer: str, second_answer:
                     .otherwise(F.col("__a.rationale")))
         .withColumn("source", F.when(F.col("__safe"), K.SOURCE_SAFETY))
         .withColumn("reconsidered", ~F.col("__safe") & F.col("__a.reconsidered"))
-        .drop("__a", "__safe")
+        .drop("__a", "__first", "__second", "__safe")
     )
 
 
@@ -55,8 +56,8 @@ def ask_model(df: DataFrame, load: Loader, text: str, when: Column, *, second_lo
     df = score_batches(df, load, ["prompt"], ANSWER, when)
     df = df.withColumnRenamed("answer", "first_answer")
     if second_look:
-        again = (F.col("first_answer").isNotNull()
-                 & (parse_intent_json("first_answer")["intent"] == K.OTHER))
+        again = F.when(F.col("first_answer").isNotNull(),
+                       parse_intent_json("first_answer")["intent"] == K.OTHER)
         df = df.withColumn("prompt", second_look_prompt("prompt", "first_answer", taxonomy))
         df = score_batches(df, load, ["prompt"], ANSWER, again)
         df = df.withColumnRenamed("answer", "second_answer")

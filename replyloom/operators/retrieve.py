@@ -15,7 +15,7 @@ from replyloom.functions.prompts import example_line
 from replyloom.functions.text import _col
 from replyloom.operators.keys import first_by_key, lookup_join, top_per_key
 from replyloom.schemas import HITS
-from replyloom.session import materialise
+from replyloom.session import materialise, ship_package
 
 # Query sets up to this many rows travel to the corpus; larger ones meet it block by block.
 BROADCAST_QUERIES = 4096
@@ -122,6 +122,7 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 
 def _knn_broadcast(queries: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
     """Send the bounded query block to every corpus partition; nothing but hits is shuffled."""
+    ship_package(corpus.sparkSession)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, queries.schema) as writer:
         writer.write_table(queries)
@@ -141,6 +142,8 @@ def _knn_broadcast(queries: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
 
 def _meet(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Bring equal-keyed blocks of both sides together and keep each query's best rows."""
+    ship_package(queries.sparkSession)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return _block_hits(left, right, k)
 
@@ -217,6 +220,7 @@ def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int = K.TOP_K, *,
 
 def _with_buckets(df: DataFrame, dims: int, bits: int, tables: int, seed: int) -> DataFrame:
     """One row per (row, table): the signs of ``bits`` random projections as a bucket number."""
+    ship_package(df.sparkSession)
     names = df.columns
     schema = T.StructType(df.schema.fields + [T.StructField("buckets", T.ArrayType(T.LongType()))])
 

@@ -15,6 +15,7 @@ from replyloom import constants as K
 from replyloom.functions.answers import parse_judge_json
 from replyloom.functions.prompts import judge_prompt, reply_prompt
 from replyloom.schemas import ANSWER
+from replyloom.session import ship_package
 
 # A loader builds the model; the model maps the input columns of some rows to output columns.
 Model = Callable[[pd.DataFrame], pd.DataFrame]
@@ -36,6 +37,7 @@ def score_batches(df: DataFrame, load: Loader, inputs: Sequence[str], out: T.Str
     The model is loaded once per Python worker. Rows that need no answer pass through the same
     operator untouched, so a cheap rule saves the model call without reading the input twice.
     """
+    ship_package(df.sparkSession)
     asked = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     token = uuid.uuid4().hex
     inputs, names = list(inputs), df.columns

@@ -1,6 +1,9 @@
 """Model callables, classification steps, features and judge."""
 
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -174,3 +177,19 @@ def test_kmeans_keeps_the_best_start(spark):
     out, model = T.kmeans_cluster(df, 3, starts=4)
     assert model.summary.trainingCost == pytest.approx(0.0)
     assert out.groupBy("cluster").count().where("count = 10").count() == 3
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """A driver started elsewhere, with the package only on its own path."""
+    root = Path(__file__).resolve().parents[1]
+    script = tmp_path / "job.py"
+    script.write_text(f"import sys; sys.path.insert(0, {str(root)!r})\n"
+                      "from replyloom.session import local_session\n"
+                      "from replyloom.catalog import load_all\n"
+                      "from replyloom.catalog.registry import QUERIES\n"
+                      "load_all(); spark = local_session(2)\n"
+                      "for q in ('c1_score_batches', 'r1_j4_knn_exact', 'r2_knn_blocked'):\n"
+                      "    print(QUERIES[q](spark, '/root/testdata/sf0.001').count())\n")
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True,
+                          timeout=300)
+    assert done.stdout.split() == ["200", "1500", "10000"], done.stderr[-2000:]
