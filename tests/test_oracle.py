@@ -18,7 +18,7 @@ def test_registry_is_consistent():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) > 70
     without = set(QUERIES) - set(ORACLES)
-    assert without == {"m7_compare_with_text_baseline", "c3_text_classifier", "r3_knn_lsh_recall",
+    assert {n for n in without if not n.startswith("op") and n != "pipeline"} == {"m7_compare_with_text_baseline", "c3_text_classifier", "r3_knn_lsh_recall",
                        "c4_hashed_encoder", "c5_kmeans_cluster"}
 
 
