@@ -29,13 +29,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import Scratch, byte_slices
+from replyloom.llm.common import SLICE_ROWS, Scratch, byte_slices
 from replyloom.llm.components import connected_components
+from replyloom.llm.shingles import shingle_sets
 
 #: A token in this share of the documents counts as frequent and is sorted last.
 FREQUENT_SHARE = 1 / 2000
@@ -45,43 +45,9 @@ COUNT_DOCS = 4000
 MAX_MATCHES = 8
 #: Cost of verifying a candidate, in postings.
 VERIFY_COST = 20.0
-#: Words whose hash a task remembers before it starts afresh.
-WORD_MEMORY = 500_000
 #: Rounds of new hubs go on while they find links and open pairs exceed this many per document.
-PAIRS_PER_DOC = 2.0
-MAX_HUB_ROUNDS = 6
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_MEMORY:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_MULTIPLIERS = tuple(np.uint64(m) for m in (
-    0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(text: bytes, words: dict[bytes, int], size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text, lower-cased in A-Z."""
-    parts = text.lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    ids = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
-    width = min(size, len(parts))
-    count = len(parts) - width + 1
-    total = np.full(count, width if width < size else 0, np.uint64)
-    for k in range(width):
-        total = _mix(total + ids[k:k + count] * _MULTIPLIERS[k % 4])
-    return np.unique(total)
+PAIRS_PER_DOC = 20.0
+MAX_HUB_ROUNDS = 4
 
 
 def _needed(n: int, percent: int) -> int:
@@ -91,7 +57,7 @@ def _needed(n: int, percent: int) -> int:
 
 def _count_slices(batches: Iterable[pa.RecordBatch], size: int,
                   share: float) -> Iterator[pa.RecordBatch]:
-    words, held = _WordHash(), []
+    held: list[np.ndarray] = []
 
     def counted() -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -101,8 +67,7 @@ def _count_slices(batches: Iterable[pa.RecordBatch], size: int,
             names=["token", "df"])
 
     for _, texts in byte_slices(batches):
-        for text in texts:
-            held.append(shingle_hashes(text, words, size))
+        held.extend(shingle_sets(texts, size))
         if len(held) >= COUNT_DOCS:
             yield counted()
             held = []
@@ -126,13 +91,11 @@ def _choose(tokens: np.ndarray, df: np.ndarray, percent: int) -> int:
 def _prefixes(batches: Iterable[pa.RecordBatch], size: int, percent: int,
               frequent: Broadcast) -> Iterator[pa.RecordBatch]:
     known, known_df = frequent.value
-    words = _WordHash()
     for part, texts in byte_slices(batches):
         rows: dict[str, list] = {k: [] for k in
                                  ("text_key", "n", "digest", "l", "n_rare", "prefix")}
-        for text in texts:
+        for text, tokens in zip(texts, shingle_sets(texts, size)):
             rows["text_key"].append(hashlib.md5(text).hexdigest())
-            tokens = shingle_hashes(text, words, size)
             n = len(tokens)
             df = np.ones(n)
             if n and len(known):
@@ -159,16 +122,18 @@ def _prefixes(batches: Iterable[pa.RecordBatch], size: int, percent: int,
 
 def _linked(frames: Iterable[pd.DataFrame], size: int, percent: int) -> Iterator[pd.DataFrame]:
     """Pairs of texts with the verdict; neighbouring rows mostly share the first text."""
-    words, last, mine = _WordHash(), None, np.empty(0, np.uint64)
     for pairs in frames:
-        verdicts = []
-        for text_a, text_b in zip(pairs["text_a"], pairs["text_b"]):
-            if text_a != last:
-                last, mine = text_a, shingle_hashes(text_a.encode(), words, size)
-            other = shingle_hashes(text_b.encode(), words, size)
-            both = len(mine) + len(other)
-            shared = both - len(np.union1d(mine, other))
-            verdicts.append(100 * shared >= percent * (both - shared))
+        verdicts: list[bool] = []
+        for start in range(0, len(pairs), SLICE_ROWS):
+            part = pairs.iloc[start:start + SLICE_ROWS]
+            ours = list(dict.fromkeys(part["text_a"]))
+            sets = dict(zip(ours, shingle_sets([t.encode() for t in ours], size)))
+            others = shingle_sets([t.encode() for t in part["text_b"]], size)
+            for text_a, other in zip(part["text_a"], others):
+                mine = sets[text_a]
+                at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+                shared = int((mine[at] == other).sum())
+                verdicts.append(100 * shared >= percent * (len(mine) + len(other) - shared))
         yield pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "linked": verdicts})
 
 

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from replyloom.llm.block_naming import exact_dedup
+from replyloom.llm.html_extract import extract_main_text, train_extractor
 from replyloom.llm.jaccard import shingle_classes
 from replyloom.llm.mixing import mix_amounts
 from replyloom.llm.packing import pack_documents
 from replyloom.llm.quality import line_quality
+from replyloom.llm.token_store import read_store, write_store
+from replyloom.llm.toxicity import learn_grammar, score_documents
+from replyloom.llm.url_model import judge_urls
+from replyloom.llm.warc_store import read_archives, write_archives
+from replyloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,16 +48,72 @@ FROM low
 """
 
 
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, learn_grammar(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extract_main_text(pages, train_extractor(pages))
+
+
 @_query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    manifest = write_store(_table(spark, sf_dir, "documents"), folder, _tokenizer_path())
+    return read_store(manifest, folder, with_ids=False)
+
+
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc-bundles")
+    index = write_archives(_table(spark, sf_dir, "pages"), folder)
+    return read_archives(index, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# SHA-1 as hex digits; every five of them are twenty bits, hence four digits of base 32.
+ORACLES["op8_warc"] = """
+WITH hashed AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+best AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload) AS keep_id FROM hashed)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), i -> substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) AS INT) + 1, 5) AS BIGINT)
+                 >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INT) + 1, 1)), 'string_agg', '')
+           AS payload_digest,
+       CASE WHEN page_id = keep_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep_id THEN keep_id END AS refers_to
+FROM best
+"""
+
+
 @_query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_classes(_table(spark, sf_dir, "documents"))

@@ -1,0 +1,10 @@
+"""The session and path set-up of the other tests, and small helpers."""
+
+import importlib.util
+from pathlib import Path
+
+_parent = Path(__file__).resolve().parents[1] / "conftest.py"
+_spec = importlib.util.spec_from_file_location("parent_conftest", _parent)
+_module = importlib.util.module_from_spec(_spec)
+_spec.loader.exec_module(_module)
+conf = _module.conf
