@@ -39,8 +39,17 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        self._release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _release(self) -> None:
+        """Let Spark delete the shuffle files of earlier steps now.
+
+        It does so when the driver collects its garbage, which a driver that holds little does
+        seldom; without this an operator of many steps keeps the files of all of them.
+        """
+        self.spark._jvm.System.gc()
+
     def finish(self, df: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, "result")
         df.write.parquet(path)

@@ -103,7 +103,7 @@ WITH hashed AS (
 best AS (
     SELECT *, max(page_id) OVER (PARTITION BY payload) AS keep_id FROM hashed)
 SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
-       list_aggregate(list_transform(range(0, 32), i -> substr(
+       list_aggregate(list_transform(range(0, 32), lambda i: substr(
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) AS INT) + 1, 5) AS BIGINT)
                  >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INT) + 1, 1)), 'string_agg', '')

@@ -85,7 +85,7 @@ def write_shard(uri: str, doc_ids: list[int], coded: list[bytes], width: int) ->
     ends = np.cumsum([len(c) // width for c in coded], dtype=np.int64)
     bounds = encode(ends)
     ids = np.array(doc_ids, "<i8").tobytes()
-    with system.open_output_stream(f"{path}/{name}") as out:
+    with system.open_output_stream(f"{path}/{name}", compression=None) as out:
         out.write(_HEADER.pack(MAGIC, int(ends[-1]) if len(ends) else 0, len(ids), len(bounds), width))
         for c in coded:
             out.write(c)
@@ -135,7 +135,7 @@ def _write(batches: Iterable[pa.RecordBatch], uri: str, tokenizer_path: str, wid
         name = write_shard(uri, doc_ids, coded, width)
         return pa.RecordBatch.from_pylist([{
             "part": doc_part, "number": number, "file": name, "n_docs": len(doc_ids),
-            "n_ids": held // width}])
+            "n_ids": held // width}], schema=_ARROW_MANIFEST)
 
     doc_part = 0
     for part, texts in byte_slices(batches):
@@ -152,6 +152,8 @@ def _write(batches: Iterable[pa.RecordBatch], uri: str, tokenizer_path: str, wid
         yield closed()
 
 
+_ARROW_MANIFEST = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()),
+                             ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 _MANIFEST = "part int, number int, file string, n_docs long, n_ids long"
 #: The id that stands for a null document id in a file; it sorts first, as nulls do.
 NULL_ID = -(1 << 63)

@@ -6,7 +6,7 @@ state as it is needed, writes an event for every insult and every completed thre
 whether it was negated, reported or aimed at somebody. A clause's events are summed by kind, and a
 logistic model over the sums of the clauses gives the score. Words on their own score nothing.
 
-The insult arcs are learned: from labelled training rows Spark counts the documents of either
+A short list of insults is the prior; further arcs are learned: from labelled training rows Spark counts the documents of either
 class for every word and word beginning, and a covering rule picks few that together explain the
 toxic ones. The arcs' weights are log-odds; the weights of the event kinds are fitted afterwards.
 """
@@ -31,7 +31,9 @@ MAX_LABELLED = 20_000
 #: At most so many candidate arcs reach the driver, those of the most toxic documents first.
 MAX_CANDIDATES = 4_000
 #: An arc has to occur in so many toxic documents, and be this precise at the lower bound.
-MIN_TOXIC, MIN_PRECISION = 5, 0.5
+MIN_TOXIC, MIN_PRECISION = 4, 0.5
+#: Log-odds of an insult of the word list before anything is learned.
+PRIOR_ODDS = 3.0
 #: A toxic document counts for choosing arcs until so many arcs hold for it.
 COVER = 4
 PREFIXES = (4, 5, 6)
@@ -39,6 +41,9 @@ WORD_MEMORY = 500_000
 FLUSH_COUNTS = 200_000
 
 #: Word lists of the grammar, in four languages.
+INSULTS = frozenset(
+    "idiot idiots moron morons stupid loser losers trash scum pathetic worthless disgusting clown "
+    "clowns jerk dumb imbecile".split())
 NEGATIONS = frozenset(
     "not no never neither nor nobody nothing isn't aren't wasn't don't doesn't nicht kein keine "
     "nie pas jamais aucun nunca jamás tampoco".split())
@@ -122,7 +127,8 @@ def _kind(event: str) -> str:
 class Grammar:
     """Arcs with their weights, and the logistic weights of the event sums."""
 
-    words: dict[str, float] = dataclass_field(default_factory=dict)
+    words: dict[str, float] = dataclass_field(
+        default_factory=lambda: dict.fromkeys(INSULTS, PRIOR_ODDS))
     prefixes: dict[str, float] = dataclass_field(default_factory=dict)
     bias: float = -3.0
     weights: tuple[float, ...] = (1.0,) * (len(KINDS) + 1)
@@ -292,7 +298,8 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """Fit arcs and weights on at most ``max_labelled`` labelled rows that are not held out.
 
     Null labels and ids are not learned from; of several labels of an id the largest counts.
-    Without a toxic training row the grammar has no insult arcs.
+    Without a toxic training row
+    the grammar has its prior arcs and weights.
     """
     ship_package(docs.sparkSession)
     training = _training(docs, labels, id_col, text_col, label_col, max_labelled)

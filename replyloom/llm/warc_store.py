@@ -75,7 +75,7 @@ class BundleWriter:
     def __init__(self, uri: str, frame_bytes: int = FRAME_BYTES) -> None:
         system, path = open_folder(uri)
         self.name = f"bundle-{uuid.uuid4().hex}.warc.zst"
-        self._out = system.open_output_stream(f"{path}/{self.name}")
+        self._out = system.open_output_stream(f"{path}/{self.name}", compression=None)
         self._packer = zstandard.ZstdCompressor(level=LEVEL)
         self._frame_bytes = frame_bytes
         self._held: list[bytes] = []

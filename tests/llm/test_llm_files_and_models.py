@@ -123,7 +123,7 @@ def test_archives_round_trip(spark, min_bytes):
     # Any reader gets through a bundle from end to end.
     name = index.first()["bundle"]
     system, path = open_folder(folder)
-    with system.open_input_stream(f"{path}/{name}") as stream:
+    with system.open_input_stream(f"{path}/{name}", compression=None) as stream:
         data = stream.read()
     plain = zstandard.ZstdDecompressor().stream_reader(
         io.BytesIO(data), read_across_frames=True).read()
