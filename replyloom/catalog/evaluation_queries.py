@@ -211,7 +211,7 @@ _REPORT_SQL = " UNION ALL ".join((
     _rows_sql("intent_accuracy", "system", "totals", {
         "n_rows": "n", "accuracy": "po", "macro_f1": "macro_f1"}),
     _rows_sql("gold_escalation", "'all'", "(SELECT count(*) AS n, count_if(coalesce(gold_escalate, FALSE)) AS e "
-              "FROM j)", {"n_rows": "n", "n_escalate": "e", "escalate_share": "e / n"}),
+              "FROM g)", {"n_rows": "n", "n_escalate": "e", "escalate_share": "e / n"}),
     _rows_sql("self_retrieval", "'your_system'", "(SELECT count(*) AS n, "
               "count_if(coalesce(list_contains(grounded_on, pair_id), FALSE)) AS l FROM j)",
               {"n_rows": "n", "n_leaks": "l"}),

@@ -99,7 +99,7 @@ def s2(spark, sf_dir):
        "round(list_sum(embedding), 6) AS vector_sum FROM corpus", (V.CORPUS_SQL,))
 def s4(spark, sf_dir):
     path = scratch_path(spark, "corpus")
-    io.save_corpus(V.corpus(spark, sf_dir), path)
+    io.save_corpus(V.corpus(spark, sf_dir), path, K.DEFAULT_ENCODER)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return io.load_corpus(spark, path).select(
         "pair_id", "customer_text", "model_name", F.round(total, 6).alias("vector_sum"))
@@ -122,13 +122,13 @@ def s5(spark, sf_dir):
 
 # --- text columns ------------------------------------------------------------------------------
 
-_BOTH_TEXTS = ("texts AS (SELECT text FROM tweets WHERE text IS NOT NULL "
+_BOTH_TEXTS = ("texts AS (SELECT text FROM tweets "
                "UNION ALL SELECT text FROM documents)",)
 
 
 def _texts(spark, sf_dir) -> DataFrame:
     """Messages and whole documents."""
-    return (V.tweets(spark, sf_dir).where("text IS NOT NULL").select("text")
+    return (V.tweets(spark, sf_dir).select("text")
             .unionByName(V.table(spark, sf_dir, "documents").select("text")))
 
 

@@ -164,7 +164,7 @@ def c4_encoder(spark, sf_dir):
 
 @query("c5_kmeans_cluster")
 def c5(spark, sf_dir):
-    out, _ = features.kmeans_cluster(V.corpus(spark, sf_dir).select("pair_id", "embedding"), 10, starts=3)
+    out, _ = features.kmeans_cluster(V.corpus(spark, sf_dir).select("pair_id", "embedding"), 10)
     return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from replyloom.constants import TAXONOMY
-from replyloom.sources.io import read_parquet
 
 BRAND = "brand_0"          # writes more than a third of all replies
 
@@ -68,8 +67,13 @@ _HEAVY = ("documents", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return read_parquet(spark, path) if heavy or name in _HEAVY else spark.read.parquet(path)
+    """A given table. One whose rows take much work is dealt to all cores if Spark, which splits
+    large files by itself, reads it in fewer parts than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if (heavy or name in _HEAVY) and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def pick(values, index: Column) -> Column:
@@ -93,7 +97,7 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Support messages from ``conversations``, with repeated ids and broken parents."""
     user = F.col("role") == "user"
     copies = F.sequence(F.lit(0), F.when(F.col("id") % 19 == 0, 1).otherwise(0))
-    base = (table(spark, sf_dir, "conversations").where(F.col("role") != "system")
+    base = (table(spark, sf_dir, "conversations")
             .withColumn("id", F.col("conv_id") * 100 + F.col("turn") + 1)
             .withColumn("copy", F.explode(copies)))
     i = F.col("id")
@@ -144,7 +148,7 @@ tweets AS (
     id * 10 + CASE WHEN id % 38 = 0 THEN 1 - copy ELSE copy END AS seq
   FROM (SELECT *, role = 'user' AS u,
           unnest(CASE WHEN id % 19 = 0 THEN [0, 1] ELSE [0] END) AS copy
-        FROM (SELECT *, conv_id * 100 + turn + 1 AS id FROM conversations WHERE role <> 'system'))
+        FROM (SELECT *, conv_id * 100 + turn + 1 AS id FROM conversations))
 )"""
 
 
@@ -235,12 +239,13 @@ def queries_of(df: DataFrame) -> DataFrame:
 # --- labels and predictions -----------------------------------------------------------------
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels from ``orders``; orders in progress were labelled twice, the later label counts."""
+    """Labels from ``orders``; orders in progress were labelled twice, the later label counts.
+    Orders of low priority have a key that no prediction has."""
     key = F.col("o_orderkey")
     copies = F.sequence(F.lit(0), F.when(F.col("o_orderstatus") == "P", 1).otherwise(0))
-    return (table(spark, sf_dir, "orders").where(F.col("o_orderpriority") != "5-LOW")
+    return (table(spark, sf_dir, "orders")
             .withColumn("copy", F.explode(copies)).select(
-        F.concat(F.lit("p"), key).alias("pair_id"),
+        F.concat(F.when(F.col("o_orderpriority") == "5-LOW", "u").otherwise("p"), key).alias("pair_id"),
         F.concat_ws(" ", pick(PHRASES, key), "o_orderpriority").alias("customer_text"),
         pick(TAXONOMY, key + F.col("copy")).alias("gold_intent"),
         F.when(F.col("o_custkey") % 7 == 0, F.lit(None))
@@ -250,13 +255,13 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GOLDEN_SQL = f"""
 golden AS (
-  SELECT 'p' || o_orderkey AS pair_id,
+  SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'u' ELSE 'p' END || o_orderkey AS pair_id,
     {pick_sql(PHRASES, "o_orderkey")} || ' ' || o_orderpriority AS customer_text,
     {pick_sql(TAXONOMY, "o_orderkey + copy")} AS gold_intent,
     CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_orderstatus = 'F' END AS gold_escalate,
     o_orderkey * 2 + copy AS seq
   FROM (SELECT *, unnest(CASE WHEN o_orderstatus = 'P' THEN [0, 1] ELSE [0] END) AS copy
-        FROM orders WHERE o_orderpriority <> '5-LOW')
+        FROM orders)
 )"""
 
 PRED_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",

@@ -13,8 +13,12 @@ def strip_fences(c: Column | str) -> Column:
     """Remove a Markdown code fence around an answer."""
     c = F.regexp_replace(_col(c), r"^(?i)```json(?U)\s*", "")
     c = F.regexp_replace(c, r"^```(?U)\s*", "")
-    c = F.regexp_replace(c, r"```$", "")
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return strip(F.regexp_replace(c, r"```$", ""))
+
+
+def strip(c: Column | str) -> Column:
+    """Remove white space of every kind at both ends."""
+    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
 
 
 def _is_object(text: Column) -> Column:

@@ -111,7 +111,8 @@ class TextClassifier:
 
     def fit(self, df: DataFrame, text: str = "customer_text",
             label: str = "gold_intent") -> "TextClassifier":
-        """Learn vocabulary, idf and coefficients from ``df`` only."""
+        """Learn vocabulary, idf and coefficients from the rows of ``df`` that have a label."""
+        df = df.where(F.col(label).isNotNull())
         vocab = vocabulary(df, text, self.size, self.sizes).collect()   # at most ``size`` rows
         self._terms = CountVectorizerModel.from_vocabulary(
             [r["term"] for r in vocab], inputCol="terms", outputCol="__counts")

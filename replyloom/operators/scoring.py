@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from replyloom import constants as K
-from replyloom.functions.answers import parse_judge_json
+from replyloom.functions.answers import parse_judge_json, strip
 from replyloom.functions.prompts import judge_prompt, reply_prompt
 from replyloom.schemas import ANSWER
 from replyloom.session import ship_package
@@ -22,10 +23,19 @@ Model = Callable[[pd.DataFrame], pd.DataFrame]
 Loader = Callable[[], Model]
 
 _LOADED: dict[str, Model] = {}
+# Models that a Python worker keeps; the one loaded first goes when another is needed.
+_KEEP_LOADED = 4
+
+
+def _token(load: Loader) -> str:
+    """Names a loader by its content, so later plans and micro-batches find its model loaded."""
+    return hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
 
 
 def _loaded(token: str, load: Loader) -> Model:
     if token not in _LOADED:
+        while len(_LOADED) >= _KEEP_LOADED:
+            del _LOADED[next(iter(_LOADED))]
         _LOADED[token] = load()
     return _LOADED[token]
 
@@ -34,23 +44,22 @@ def score_batches(df: DataFrame, load: Loader, inputs: Sequence[str], out: T.Str
                   when: Column | None = None) -> DataFrame:
     """Add a model's ``out`` columns to the rows that meet ``when``; other rows get nulls.
 
-    The model is loaded once per Python worker. Rows that need no answer pass through the same
+    The model is loaded once per Python worker, when the first row asks for it. Rows that need no answer pass through the same
     operator untouched, so a cheap rule saves the model call without reading the input twice.
     """
     ship_package(df.sparkSession)
     asked = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    token = uuid.uuid4().hex
+    token = _token(load)
     inputs, names = list(inputs), df.columns
     arrow_types = [to_arrow_type(f.dataType) for f in out.fields]
 
     def run(batches):
-        model = _loaded(token, load)
         for batch in batches:
             ask = np.flatnonzero(batch.column("__ask").to_numpy(zero_copy_only=False))
             columns = [batch.column(c) for c in names]
             if len(ask):
                 rows = pa.Table.from_batches([batch]).select(inputs).take(pa.array(ask))
-                result = model(rows.to_pandas())
+                result = _loaded(token, load)(rows.to_pandas())
                 where = np.zeros(batch.num_rows, dtype=np.int64)
                 where[ask] = np.arange(len(ask))
                 skip = np.ones(batch.num_rows, dtype=bool)
@@ -101,7 +110,7 @@ def draft_reply(retrieved: DataFrame, load: Loader | None = None, message: str =
     lines = F.array_join(F.transform(cases, lambda c: c["line"]), "\n")
     out = out.withColumn("prompt", reply_prompt(message, lines)).drop("cases")
     out = score_batches(out, load, ["prompt"], ANSWER)
-    return out.withColumn("reply", F.trim("answer")).drop("prompt", "answer")
+    return out.withColumn("reply", strip("answer")).drop("prompt", "answer")
 
 
 def _case_type(df: DataFrame) -> T.DataType:

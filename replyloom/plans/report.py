@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from replyloom import constants as K
 from replyloom.operators import evaluate as E
 from replyloom.operators.features import TextClassifier
-from replyloom.operators.keys import Order, join_gold_pred, require_overlap
+from replyloom.operators.keys import (Order, join_gold_pred, last_by_key,
+                                      require_overlap)
 from replyloom.operators.sampling import can_train, holdout_split
 from replyloom.schemas import METRICS
 from replyloom.session import materialise
@@ -55,7 +56,8 @@ def evaluation_report(golden: DataFrame, predictions: DataFrame, *,
         metric_rows(E.overlap_counts(golden, predictions), "overlap", "all"),
         metric_rows(E.compare_systems(joined, held_out=held_out), "intent_accuracy"),
         metric_rows(E.escalation_agreement(joined), "escalation_agreement", "your_system"),
-        metric_rows(E.escalation_rate(joined), "gold_escalation", "all"),
+        metric_rows(E.escalation_rate(last_by_key(golden, ["pair_id"], order_by_gold)),
+                    "gold_escalation", "all"),
         metric_rows(E.grounding_stats(joined), "grounding", "your_system"),
         metric_rows(E.leak_count(joined), "self_retrieval", "your_system"),
     ]

@@ -30,9 +30,11 @@ def stored_answers(first: str = "first_answer", second: str = "second_answer") -
 
 
 def _query_key() -> Column:
-    """Identifies what retrieval depends on, so equal messages are searched once."""
-    return F.sha2(F.concat_ws("\x1f", F.coalesce("pair_id", F.lit("")),
-                              F.coalesce("customer_text", F.lit(""))), 256)
+    """Identifies all that retrieval and the draft depend on: own id, text and vector.
+
+    JSON leaves nulls out, so a null differs from an empty text.
+    """
+    return F.sha2(F.to_json(F.struct("pair_id", "customer_text", "embedding")), 256)
 
 
 def prediction_projection(df: DataFrame) -> DataFrame:
@@ -72,8 +74,11 @@ def triage(
                                 high_risk=high_risk)
     empty = F.array().cast("array<string>")
     return prediction_projection(
-        rows.withColumn("grounded_on", F.coalesce("grounded_on", empty))
-        .withColumn("top_similarity", F.coalesce("top_similarity", F.lit(0.0)))
+        # A gated row may share its key with one that is drafted; it takes nothing from it.
+        rows.withColumn("reply", F.when(~gated, F.col("reply")))
+        .withColumn("grounded_on", F.when(gated, empty).otherwise(F.coalesce("grounded_on", empty)))
+        .withColumn("top_similarity", F.when(gated, F.lit(0.0)).otherwise(
+            F.coalesce("top_similarity", F.lit(0.0))))
         .withColumn("ranking_method", F.when(gated, K.METHOD_SKIPPED).otherwise(F.lit(mode)))
         .withColumn("__v", verdict)
         .withColumn("escalate", gated | F.col("__v.escalate"))

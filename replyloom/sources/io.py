@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from replyloom import schemas
 from replyloom.constants import DEFAULT_ENCODER
@@ -12,26 +12,6 @@ from replyloom.operators.keys import unprocessed
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
-# Inputs below this many bytes per core are redistributed when they come in fewer files than cores.
-SPREAD_BYTES_PER_CORE = 64 * 1024 * 1024
-
-
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Read Parquet; hand the rows of a small, few-file table out to all cores.
-
-    Spark cannot split a row group, so a small table often lands in one task and whatever is
-    computed per row runs on one core. Its size is checked first: a large table, or one of many
-    files, is read as it is and never shuffled here.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where)
-    if size.getFileCount() < cores and size.getLength() < SPREAD_BYTES_PER_CORE * cores:
-        return df.repartition(cores)
-    return df
-
-
 def read_messages_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Message CSV by header name, with declared types.
 
@@ -56,20 +36,24 @@ def read_messages_csv(spark: SparkSession, path: str, multi_line: bool = True) -
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType,
                drop_malformed: bool = False) -> DataFrame:
-    """JSON lines with a declared schema; absent fields are null."""
-    mode = "DROPMALFORMED" if drop_malformed else "PERMISSIVE"
+    """JSON lines with a declared schema; absent fields are null. A line that is no JSON object
+    stops the read, or is left out with ``drop_malformed``."""
+    mode = "DROPMALFORMED" if drop_malformed else "FAILFAST"
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists",
                 allow_empty: bool = True) -> None:
-    """JSON lines, nulls written out. ``allow_empty=False`` raises when there is nothing."""
-    if not allow_empty and df.isEmpty():
+    """JSON lines, nulls written out. ``allow_empty=False`` raises when nothing was written; the
+    rows are counted while they are written, so the plan runs once."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option(
+        "ignoreNullFields", False).json(path)
+    if not allow_empty and not seen.get["n"]:
         raise ValueError("no rows to write; check the brand name or enlarge the sample")
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def save_corpus(df: DataFrame, path: str, model_name: str = DEFAULT_ENCODER,
+def save_corpus(df: DataFrame, path: str, model_name: str,
                 mode: str = "errorifexists") -> None:
     """Pairs and their vectors as Parquet, with the encoder's name."""
     df.withColumn("model_name", F.lit(model_name)).write.mode(mode).parquet(path)

@@ -98,11 +98,3 @@ def test_broken_stored_line_is_run_again(spark, tmp_path):
     io.append_new(df, str(tmp_path / "store"))
     rows = io.read_store(spark, str(tmp_path / "store"), df.schema).collect()
     assert sorted(r["pair_id"] for r in rows) == ["a", "b"]
-
-
-def test_small_tables_are_spread_and_large_ones_left(spark, tmp_path, monkeypatch):
-    path = str(tmp_path / "t")
-    spark.range(100).coalesce(1).write.parquet(path)
-    assert "RoundRobin" in io.read_parquet(spark, path)._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(io, "SPREAD_BYTES_PER_CORE", 1)
-    assert "RoundRobin" not in io.read_parquet(spark, path)._jdf.queryExecution().executedPlan().toString()

@@ -124,3 +124,23 @@ def test_stream_equals_batch_and_restarts_clean(inputs, decided, spark):
     for path in (last, last.with_name(f".{last.name}.crc")):
         path.unlink(missing_ok=True)
     assert rows(run()) == rows(decided)
+
+
+def test_equal_texts_share_no_draft_across_the_gate(spark, inputs):
+    """Keyless messages of one text: each row is decided by its own answer and vector."""
+    _, corpus, _ = inputs
+    vectors = [r["embedding"] for r in corpus.orderBy("vec_id").limit(2).collect()]
+    safe = '{"intent": "general_inquiry", "confidence": 0.9, "rationale": "r"}'
+    gated = '{"intent": "safety_incident", "confidence": 0.9, "rationale": "r"}'
+    messages = spark.createDataFrame(
+        [(None, "hello there", v, a, None) for v in vectors for a in (safe, gated)],
+        "pair_id string, customer_text string, embedding array<float>, first_answer string, "
+        "second_answer string")
+    got = triage(messages, corpus, stored_answers(), mode=K.METHOD_ONE_STAGE, k=1).collect()
+    assert len(got) == 4
+    for r in got:
+        if r["intent"] == K.SAFETY:
+            assert r["reply"] is None and r["grounded_on"] == [] and r["top_similarity"] == 0.0
+    drafted = [r for r in got if r["intent"] != K.SAFETY]
+    assert len({tuple(r["grounded_on"]) for r in drafted}) == 2
+    assert {r["top_similarity"] for r in drafted} == {1.0}
