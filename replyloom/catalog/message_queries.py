@@ -209,9 +209,9 @@ def f6_large(spark, sf_dir):
 
 @query("f6_build_pairs_shuffled", f"SELECT {_PAIR_COLS} FROM pairs", _LARGE)
 def f6_shuffled(spark, sf_dir):
-    """The same pairs when the referenced ids are too many to broadcast."""
-    return pairs.build_pairs(V.tweets_large(spark, sf_dir), V.BRAND, V.TWEETS_LARGE_ORDER,
-                             broadcast_ids=0)
+    """The same pairs when the messages come in another order."""
+    return pairs.build_pairs(V.tweets_large(spark, sf_dir).repartition("text"), V.BRAND,
+                             V.TWEETS_LARGE_ORDER)
 
 
 @query("f6_build_pairs_deduplicated", f"SELECT {_PAIR_COLS} FROM pairs",
@@ -307,10 +307,9 @@ def p1_parents(spark, sf_dir):
        (V.TWEETS_LARGE_SQL,
         *_sample_ctes(20000, "tweets_large", "tweet_id, created_at, text", _LARGE_HASH)))
 def p1_large(spark, sf_dir):
-    """A sample too large for a sorted limit, cut by distributed ranks."""
+    """A large sample, cut by counts of the random order's first digits."""
     return pairs.brand_biased_sample(V.tweets_large(spark, sf_dir), V.BRAND, 20000,
-                                     V.TWEETS_LARGE_ORDER, sorted_limit_rows=0
-                                     ).select("tweet_id", "text")
+                                     V.TWEETS_LARGE_ORDER).select("tweet_id", "text")
 
 
 _DISTANCE = (

@@ -8,7 +8,7 @@ from replyloom import constants as K
 from replyloom.catalog import views as V
 from replyloom.catalog.message_queries import CLASSIFIED_CTES, in_sql, reasons_sql
 from replyloom.catalog.registry import query
-from replyloom.operators import features, retrieve as R
+from replyloom.operators import cells as C, features, retrieve as R
 from replyloom.operators.keys import grounding_leak
 from replyloom.operators.scoring import draft_reply
 from replyloom.plans.triage import stored_answers, triage, triage_batch
@@ -90,6 +90,18 @@ def r3(spark, sf_dir):
     return R.recall_at_k(found, R.knn_exact(queries, corpus, 3))
 
 
+@query("r3_knn_cells_recall", "SELECT TRUE AS reached, count(*) AS n_queries FROM corpus", (V.CORPUS_SQL,))
+def r3_cells(spark, sf_dir):
+    """Whether the stored index finds 95 % of the true top 3 of every corpus row."""
+    corpus = V.corpus(spark, sf_dir)
+    queries = corpus.select(F.col("pair_id").alias("query_id"), F.col("pair_id").alias("exclude_id"),
+                            "embedding")
+    found = C.knn_cells(queries, C.build_index(corpus, K.DEFAULT_ENCODER, k=3), K.DEFAULT_ENCODER, 3)
+    recall = R.recall_at_k(found, R.knn_exact(queries, corpus, 3))
+    return recall.select((F.col("recall") >= 0.95).alias("reached"),
+                         F.lit(queries.count()).alias("n_queries"))
+
+
 @query("r4_r5_retrieve_two_stage", "SELECT query_id, pair_id, similarity, round(rerank_score, 6) AS "
        "rerank_score, CAST(rank AS BIGINT) AS rank, customer_text, brand_reply FROM reranked",
        (*_CORPUS, *_RERANKED))

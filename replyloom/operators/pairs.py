@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from replyloom.constants import BRAND_LIST_SIZE, MAX_FOREIGN_RATIO, MIN_TEXT_CHARS
 from replyloom.functions.text import clean_text, is_latin_script, long_enough
-from replyloom.operators.keys import (Order, _cols, compute_once, first_by_key, global_rank,
-                                      lookup_join)
+from replyloom.operators.keys import Order, _cols, compute_once, first_by_key, lookup_join
 
-# A set of 8-byte ids up to this many rows is small enough to send to every executor.
-BROADCAST_IDS = 2_000_000
-# Up to this many rows a sorted limit keeps its candidates in one task; beyond it, rank globally.
-SORTED_LIMIT_ROWS = 100_000
+# Leading hex digits of the random pick that are counted to find where a sample is cut.
+_CUT_DIGITS = 4
 
 
 def brand_messages(df: DataFrame, brand: str) -> DataFrame:
@@ -48,12 +45,11 @@ def _replies(messages: DataFrame, brand: str) -> DataFrame:
     )
 
 
-def _parents(messages: DataFrame, replies: DataFrame, order_by: Order,
-             broadcast_ids: int) -> DataFrame:
+def _parents(messages: DataFrame, replies: DataFrame, order_by: Order) -> DataFrame:
     """First row of every message id that the replies refer to, text not yet cleaned.
 
-    When the referenced ids are few enough they filter the message scan before anything is
-    shuffled. Otherwise every id is reduced to its first row ahead of the join.
+    Other messages leave before the choice of the first row, which reuses the partitioning by id
+    of this semi-join; Spark broadcasts the ids where it has measured that they are few.
     """
     order = [c.alias(f"__o{i}") for i, c in enumerate(_cols(order_by))]
     candidates = messages.select(
@@ -63,19 +59,18 @@ def _parents(messages: DataFrame, replies: DataFrame, order_by: Order,
         "created_at",
         *order,
     )
-    wanted = replies.where(F.col("parent_id").isNotNull()).select("parent_id")
-    if wanted.limit(broadcast_ids + 1).count() <= broadcast_ids:
-        candidates = candidates.join(
-            F.broadcast(wanted), candidates.customer_tweet_id == wanted.parent_id, "left_semi")
+    wanted = replies.where(F.col("parent_id").isNotNull()).select("parent_id").distinct()
+    candidates = candidates.join(
+        wanted, candidates.customer_tweet_id == wanted.parent_id, "left_semi")
     names = [f"__o{i}" for i in range(len(order))]
     return first_by_key(candidates, ["customer_tweet_id"], names).drop(*names)
 
 
 def join_parent(messages: DataFrame, brand: str, order_by: Order, how: str = "inner", *,
-                dedupe: bool = False, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+                dedupe: bool = False) -> DataFrame:
     """Every reply of ``brand`` beside the message it answers (texts cleaned)."""
     replies = _replies(messages, brand)
-    parents = _parents(messages, replies, order_by, broadcast_ids)
+    parents = _parents(messages, replies, order_by)
     if dedupe:
         replies = _replies(first_by_key(messages, ["tweet_id"], order_by), brand)
     if how == "inner":
@@ -98,13 +93,13 @@ def pair_projection(joined: DataFrame) -> DataFrame:
 
 def build_pairs(messages: DataFrame, brand: str, order_by: Order, *, latin_only: bool = True,
                 max_foreign_ratio: float = MAX_FOREIGN_RATIO, min_chars: int = MIN_TEXT_CHARS,
-                dedupe: bool = False, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+                dedupe: bool = False) -> DataFrame:
     """Cleaned pairs of ``brand``.
 
     ``order_by`` must be a total order of the messages; it decides which row of a repeated id
     is used. ``dedupe`` also keeps only the first row of a repeated reply id.
     """
-    joined = join_parent(messages, brand, order_by, dedupe=dedupe, broadcast_ids=broadcast_ids)
+    joined = join_parent(messages, brand, order_by, dedupe=dedupe)
     kept = joined.where(long_enough("customer_text", min_chars) & long_enough("brand_reply", min_chars))
     if latin_only:
         kept = kept.where(is_latin_script("customer_text", max_foreign_ratio))
@@ -112,10 +107,9 @@ def build_pairs(messages: DataFrame, brand: str, order_by: Order, *, latin_only:
 
 
 def drop_report(messages: DataFrame, brand: str, order_by: Order, *, latin_only: bool = True,
-                max_foreign_ratio: float = MAX_FOREIGN_RATIO, min_chars: int = MIN_TEXT_CHARS,
-                broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+                max_foreign_ratio: float = MAX_FOREIGN_RATIO, min_chars: int = MIN_TEXT_CHARS) -> DataFrame:
     """How many replies were kept, and how many were dropped by the first cause that applies."""
-    joined = join_parent(messages, brand, order_by, "left", broadcast_ids=broadcast_ids)
+    joined = join_parent(messages, brand, order_by, "left")
     outcome = (
         F.when(F.col("parent_id").isNull(), "no_parent_id")
         .when(F.col("customer_tweet_id").isNull(), "parent_missing")
@@ -135,10 +129,26 @@ def seeded_hash(seed: int, *cols: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
 
 
+def _smallest_picks(rows: DataFrame, n: int, order: Order) -> DataFrame:
+    """The ``n`` first rows by ``order``, whose first column is the hash ``__pick``.
+
+    The hash's first digits are counted (at most 16^4 rows reach the driver). Every row below the
+    group in which the cut falls is taken as it is; only that group, about one row in 65,536, is
+    sorted.
+    """
+    group = F.substring("__pick", 1, _CUT_DIGITS)
+    left = n
+    for row in sorted(rows.groupBy(group.alias("g")).count().collect(), key=lambda r: r["g"]):
+        if row["count"] >= left:
+            cut = row["g"]
+            return rows.where(group < cut).unionByName(
+                rows.where(group == cut).orderBy(*_cols(order)).limit(left))
+        left -= row["count"]
+    return rows
+
+
 def brand_biased_sample(messages: DataFrame, brand: str, n: int | None, order_by: Order, *,
-                        seed: int = 42, keep_parents: bool = False,
-                        sorted_limit_rows: int = SORTED_LIMIT_ROWS,
-                        broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+                        seed: int = 42, keep_parents: bool = False) -> DataFrame:
     """All rows written by ``brand`` plus ``n`` random other rows, then one row per id.
 
     The random rows may lack the parents of the brand's replies; ``keep_parents`` adds them.
@@ -149,19 +159,13 @@ def brand_biased_sample(messages: DataFrame, brand: str, n: int | None, order_by
     is_brand = F.coalesce(F.col("author_id") == brand, F.lit(False))
     others = messages.where(~is_brand).withColumn(
         "__pick", seeded_hash(seed, "tweet_id", *_cols(order_by)))
-    pick_order = ["__pick", *_cols(order_by)]
-    if n <= sorted_limit_rows:
-        picked = others.orderBy(*pick_order).limit(n)
-    else:
-        picked = global_rank(others, pick_order, "__rank").where(F.col("__rank") <= n).drop("__rank")
+    picked = _smallest_picks(others, n, ["__pick", *_cols(order_by)])
     # Brand rows come first, so they win over a random row with the same id.
     chosen = messages.where(is_brand).withColumn("__tier", F.lit(0)).unionByName(
         picked.drop("__pick").withColumn("__tier", F.lit(1)))
     if keep_parents:
         wanted = has_parent(brand_messages(messages, brand)).select(
-            F.col("in_response_to_tweet_id").alias("parent_id"))
-        if wanted.limit(broadcast_ids + 1).count() <= broadcast_ids:
-            wanted = F.broadcast(wanted)
+            F.col("in_response_to_tweet_id").alias("parent_id")).distinct()
         parents = messages.where(~is_brand).join(
             wanted, F.col("tweet_id") == F.col("parent_id"), "left_semi")
         chosen = chosen.unionByName(parents.withColumn("__tier", F.lit(2)))

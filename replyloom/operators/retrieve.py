@@ -27,7 +27,6 @@ _MATRIX_ELEMENTS = 4_000_000
 # copies of one vector tie exactly and fall back to the id order on every engine.
 _DECIMALS = 6
 _SCALE = 10 ** _DECIMALS
-_BROADCAST_HIT_IDS = 1_000_000
 
 _ARROW_HITS = pa.schema([("query_id", pa.string()), ("pair_id", pa.string()),
                          ("similarity", pa.float64())])
@@ -244,7 +243,8 @@ def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = K.TOP_K, *, tables:
             bits: int | None = None, seed: int = 42, block_rows: int = BLOCK_ROWS,
             complete: bool = True) -> DataFrame:
     """Approximate :func:`knn_exact`: only rows that share a hash bucket are compared, with their
-    exact similarity. Finds each pair id once.
+    exact similarity. Finds each pair id once. Recall falls as ``bits`` grow against ``tables``;
+    :mod:`replyloom.operators.cells` searches by a recall target instead.
 
     A bucket larger than ``block_rows`` is split into blocks like the exact search, so one hot
     bucket becomes many tasks. The bucket sizes (at most ``tables`` * 2^``bits`` rows) are
@@ -259,7 +259,6 @@ def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = K.TOP_K, *, tables:
         c = c.dropDuplicates(["pair_id", "embedding"])
     if bits is None:
         bits = max(1, math.ceil(math.log2(max(2, n_corpus / 256))))
-    bits = min(16, bits)
     qb = _with_buckets(q, probe["dims"], bits, tables, seed)
     cb = _with_buckets(c, probe["dims"], bits, tables, seed)
 
@@ -327,8 +326,7 @@ def with_corpus_text(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     """Add both texts of every hit. Call with materialised hits: they are read twice."""
     texts = corpus.select(F.col("pair_id").alias("hit_id"), "customer_text", "brand_reply")
     ids = hits.select(F.col("pair_id").alias("wanted_id")).distinct()
-    if ids.limit(_BROADCAST_HIT_IDS + 1).count() <= _BROADCAST_HIT_IDS:
-        texts = texts.join(F.broadcast(ids), F.col("hit_id") == F.col("wanted_id"), "left_semi")
+    texts = texts.join(ids, F.col("hit_id") == F.col("wanted_id"), "left_semi")
     texts = first_by_key(texts, ["hit_id"], ["customer_text", "brand_reply"])
     return lookup_join(hits, texts, "pair_id", "hit_id").drop("hit_id")
 

@@ -139,3 +139,24 @@ def test_unknown_mode(data):
     _, corpus, queries, _ = data
     with pytest.raises(ValueError):
         R.retrieve(queries.withColumn("message", F.lit("m")), corpus, "guess")
+
+
+def test_cell_index_reaches_its_recall_target(spark):
+    from replyloom.operators.cells import build_index, knn_cells
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 16))
+    vectors = base[rng.integers(0, 40, 4000)] + 0.4 * rng.standard_normal((4000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    corpus = spark.createDataFrame(
+        [(f"p{i}", v.tolist()) for i, v in enumerate(vectors)], "pair_id string, embedding array<float>")
+    queries = corpus.select(F.col("pair_id").alias("query_id"), F.col("pair_id").alias("exclude_id"),
+                            "embedding")
+    index = build_index(corpus, "mine", k=3, rows_per_cell=100)
+    assert index.centres.shape == (40, 16) and 1 <= index.probes < 40
+    found = knn_cells(queries, index, "mine", 3, block_rows=50)
+    assert R.recall_at_k(found, R.knn_exact(queries, corpus, 3)).first()["recall"] >= 0.95
+    with pytest.raises(ValueError):
+        knn_cells(queries, index, "another", 3)
+    nothing = build_index(corpus.limit(0), "mine")
+    assert knn_cells(queries, nothing, "mine", 3).count() == 0
