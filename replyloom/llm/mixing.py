@@ -111,16 +111,17 @@ def _slots(scratch: Scratch, shares: list[SourceShare], block_words: int) -> Dat
               .join(offsets, ["chunk", "source_ix"])
               .select("slot", "source_ix", (F.col("before") + F.col("r")).alias("rank")))
     have = {r[0]: r[1] for r in per_chunk.groupBy("source_ix").agg(F.sum("n")).collect()}
-    closing = []
+    closing, end = [], n_slots
     for ix, share in enumerate(shares):
         need = _ranks_needed(share, block_words)
         if need > have.get(ix, 0):
-            closing.append((ix, have.get(ix, 0), need - 1))
+            closing.append((ix, have.get(ix, 0), need - 1, end))
+            end += need - have.get(ix, 0)
     if closing:  # a source that the points left short of its target, by a few slots
-        tail = spark.createDataFrame(closing, "source_ix int, first long, last long")
+        tail = spark.createDataFrame(closing, "source_ix int, first long, last long, at long")
         ranked = ranked.unionByName(
-            tail.select("source_ix", F.explode(F.sequence("first", "last")).alias("rank"))
-            .select((F.lit(n_slots) + F.col("rank")).alias("slot"), "source_ix", "rank"))
+            tail.select("*", F.explode(F.sequence("first", "last")).alias("rank"))
+            .select((F.col("at") + F.col("rank") - F.col("first")).alias("slot"), "source_ix", "rank"))
     return ranked
 
 

@@ -50,14 +50,15 @@ def test_elias_fano_space_and_order():
 
 ODD_TEXTS = [None, "", " \n", "Hello  WORLD's it's 2024!!", "e\u0301 \u0301x é\u00a0É\u2003z",
              "a\x0bb\x0cc\x1cd\x85e", "<|endoftext|> x<|startoftext|>y", "ﬁ İ ẞ Σας", "日本 語😀",
-             "\r\n\t'S 'll 'x", "word " * 3000]
+             "\r\n\t'S 'll 'x", "word " * 3000, "Ünïcödé, ÀÉ!! ñandú... don't_x a_b ΣΑΣ. ŒUVRE; Ǆ, ªº, x=y, ab=, "
+             "ŉ. ß, ℵ. ＡＢ, ǰ, Å\u030a. K, Å, 각, ก็. (word) word) it’s, naïve”, x\u0338= ='s."]
 
 
 def test_chunks_encode_as_the_whole_text():
     library = Tokenizer.from_file(TOKENIZER)
     encoder = ChunkEncoder(TOKENIZER, 2)
     rng = random.Random(4)
-    letters = "ab É\u0301'sS9!<|>\n\t\u00a0\u200d\x1f日"
+    letters = "ab É\u0301'sS9!<|>\n\t\u00a0\u200d\x1f日,=İßΣς_Å\u0338"
     texts = [t or "" for t in ODD_TEXTS] + [
         "".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(2000)]
     for text, got in zip(texts, encoder.encode([t.encode() for t in texts], 1)):
