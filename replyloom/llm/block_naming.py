@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import Scratch, byte_slices, field, frame, signed
+from replyloom.operators.keys import lookup_join
 
 BLOCK_BYTES = 8192
 
@@ -133,12 +134,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty result.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    named = scratch.write(_named(scratch, docs, id_col, text_col, block_bytes), "named")
-    groups = named.groupBy("n_blocks", "name").agg(
+    named = scratch.write(
+        _named(scratch, docs, id_col, text_col, block_bytes)
+        .withColumn("identity", F.struct("n_blocks", "name")), "named")
+    groups = named.groupBy(F.col("identity").alias("group")).agg(
         F.count("*").alias("group_size"),
         F.max(F.struct(F.col(id_col).alias("id"), "row_id")).alias("best"))
+    # A group may hold a third of all rows: a join that AQE can split.
     return scratch.finish(
-        named.join(groups, ["n_blocks", "name"]).select(
+        lookup_join(named, groups, "identity", "group").select(
             id_col, F.col("best.id").alias("keep_id"), "group_size",
             (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256"))
 
