@@ -13,7 +13,9 @@ shard. Shards hold a bounded number of texts, whatever a partition holds.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -32,41 +34,97 @@ _HEADER = struct.Struct("<8sQQQB")
 END_ID = 1
 #: A shard is closed once it holds so many ids.
 SHARD_IDS = 4_000_000
-#: Chunks of text whose ids a task remembers before it starts afresh.
-CHUNK_MEMORY = 300_000
+#: Chunks of text, and words in them, whose ids a Python worker remembers before it starts afresh.
+CHUNK_MEMORY = 150_000
 #: White space that the tokenizer drops and that no token spans: blank, tab, line feed, return.
 _CUT = bytes.maketrans(b"\t\n\r", b"   ")
+#: Letters and then ASCII marks, none of which is an apostrophe or a ``<`` (special tokens).
+_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for
+    themselves, the others for the characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Remembered(dict):
+    """Ids, as bytes, by text. Of two generations of entries the older is forgotten when the newer
+    is full, so frequent entries stay."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make = make
+        self.older: dict = {}
+
+    def __missing__(self, text: bytes | str) -> bytes:
+        if len(self) >= CHUNK_MEMORY:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(text)
+        if value is None:
+            value = self.make(text)
+        self[text] = value
+        return value
 
 
 class ChunkEncoder:
     """Ids of a text as bytes, by way of the ids of its chunks between white space.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of
-    its chunks in turn, and the library encodes each distinct chunk once as long as it is
-    remembered.
+    its chunks in turn. A chunk of letters with marks behind it falls into these two pieces before
+    merging, and the library's model merges each; any other chunk goes through the whole library.
     """
 
+    _shared: dict[tuple[str, int], ChunkEncoder] = {}
+
     def __init__(self, tokenizer_path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.kind = np.dtype(f"<u{width}")
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.code = {1: "B", 2: "H", 4: "I"}[width]
+        self.chunks = _Remembered(self._chunk)
+        self.pieces = _Remembered(self._piece)
+        self.letters = _byte_letters()
+
+    @classmethod
+    def shared(cls, tokenizer_path: str, width: int) -> ChunkEncoder:
+        """The one of this Python worker; its memory serves all tasks that the worker runs."""
+        key = tokenizer_path, width
+        if key not in cls._shared:
+            cls._shared[key] = cls(tokenizer_path, width)
+        return cls._shared[key]
+
+    def _chunk(self, raw: bytes) -> bytes:
+        if not raw:
+            return b""
+        chunk = raw.decode()
+        found = _PLAIN.fullmatch(chunk)
+        if found:
+            word, marks = found.groups()
+            low = word.lower()
+            # Outside ASCII only letters that lower-casing and composition leave one to one.
+            if chunk.isascii() or (
+                    word.isalpha() and low.isalpha() and len(low) == len(word) and "\u03c2" not in low
+                    and unicodedata.is_normalized("NFC", word)
+                    and unicodedata.is_normalized("NFC", low)):
+                return self.pieces[low] + self.pieces[marks] if marks else self.pieces[low]
+        return self._coded(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else "".join(
+            map(self.letters.__getitem__, piece.encode()))
+        return self._coded([t.id for t in self.model.tokenize(spelled)])
+
+    def _coded(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        chunks = [[c for c in t.translate(_CUT).split(b" ") if c] for t in texts]
-        known = self.known
-        if len(known) > CHUNK_MEMORY:
-            known.clear()
-        new = list({c for own in chunks for c in own if c not in known})
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            coded = self.tokenizer.encode_batch([c.decode() for c in part],
-                                                add_special_tokens=False)
-            for chunk, result in zip(part, coded):
-                known[chunk] = np.array(result.ids, self.kind).tobytes()
-        end = np.array([end_id], self.kind).tobytes()
-        return [b"".join([*map(known.__getitem__, own), end]) for own in chunks]
+        ids_of, end = self.chunks.__getitem__, self._coded([end_id])
+        return [b"".join(map(ids_of, t.translate(_CUT).split(b" "))) + end for t in texts]
 
 
 def vocabulary_width(tokenizer_path: str) -> int:
@@ -126,7 +184,7 @@ class ShardReader:
 
 def _write(batches: Iterable[pa.RecordBatch], uri: str, tokenizer_path: str, width: int,
            end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
-    encoder = ChunkEncoder(tokenizer_path, width)
+    encoder = ChunkEncoder.shared(tokenizer_path, width)
     doc_ids: list[int] = []
     coded: list[bytes] = []
     held = number = 0
