@@ -31,12 +31,12 @@ MAX_LABELLED = 20_000
 #: At most so many candidate arcs reach the driver, those of the most toxic documents first.
 MAX_CANDIDATES = 4_000
 #: An arc has to occur in so many toxic documents, and be this precise at the lower bound.
-MIN_TOXIC, MIN_PRECISION = 4, 0.5
+MIN_TOXIC, MIN_PRECISION = 4, 0.3
 #: Log-odds of an insult of the word list before anything is learned.
 PRIOR_ODDS = 3.0
 #: A toxic document counts for choosing arcs until so many arcs hold for it.
 COVER = 4
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 WORD_MEMORY = 500_000
 FLUSH_COUNTS = 200_000
 
