@@ -31,6 +31,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = scratch_path(spark, label)
+        self._tables: list[str] = []
         ship_package(spark)
 
     def path(self, name: str) -> str:
@@ -42,6 +43,16 @@ class Scratch:
         self._release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """A table whose buckets by ``key`` later joins read without a shuffle."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"scratch_{uuid.uuid4().hex}"
+        df.write.option("path", self.path("bucketed")).bucketBy(buckets, key).sortBy(
+            key).saveAsTable(table)
+        self._tables.append(table)
+        self._release()
+        return self.spark.table(table)
+
     def _release(self) -> None:
         """Let Spark delete the shuffle files of earlier steps now.
 
@@ -57,6 +68,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         delete_folder(self.spark, self.root)
 
 

@@ -25,12 +25,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import SLICE_ROWS, Scratch, byte_slices
@@ -41,6 +42,8 @@ from replyloom.llm.shingles import shingle_sets
 FREQUENT_SHARE = 1 / 2000
 #: Documents whose tokens are counted together inside a task.
 COUNT_DOCS = 4000
+#: Partners of one document that one task verifies together.
+PARTNERS = 2000
 #: Choices of ``l``.
 MAX_MATCHES = 8
 #: Cost of verifying a candidate, in postings.
@@ -95,7 +98,7 @@ def _prefixes(batches: Iterable[pa.RecordBatch], size: int, percent: int,
         rows: dict[str, list] = {k: [] for k in
                                  ("text_key", "n", "digest", "l", "n_rare", "prefix")}
         for text, tokens in zip(texts, shingle_sets(texts, size)):
-            rows["text_key"].append(hashlib.md5(text).hexdigest())
+            rows["text_key"].append(hashlib.md5(text).hexdigest())  # tells repeated ids apart
             n = len(tokens)
             df = np.ones(n)
             if n and len(known):
@@ -137,12 +140,39 @@ def _linked(frames: Iterable[pd.DataFrame], size: int, percent: int) -> Iterator
         yield pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "linked": verdicts})
 
 
-def _verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame, size: int,
+def _row_key(row_id: Column, text_key: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(row_id.cast("string"), F.lit("null")), text_key)
+
+
+@dataclass(frozen=True)
+class _Texts:
+    """Texts bucketed by ``row_key``, and the ``row_key`` of every node."""
+
+    table: DataFrame
+    keys: DataFrame
+
+    def of(self, nodes: DataFrame, node: str, name: str) -> DataFrame:
+        """``nodes`` with the text of their column ``node``; narrow rows go to the buckets."""
+        keyed = nodes.join(self.keys.withColumnRenamed("node", node), node)
+        return keyed.join(self.table.withColumnRenamed("text", name), "row_key").drop("row_key")
+
+
+def _verify(scratch: Scratch, pairs: DataFrame, texts: _Texts, size: int,
             percent: int) -> DataFrame:
-    """``a, b, linked`` of candidate pairs. Texts travel, not sets: they are smaller."""
-    of_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    of_a = of_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return scratch.write(of_a.select("a", "b", "text_a", "text_b").mapInPandas(
+    """``a, b, linked`` of candidate pairs.
+
+    Texts travel, not sets: they are smaller. A first document with many partners is a hot key;
+    its partners are dealt to groups of bounded size, each with a copy of its text.
+    """
+    pairs = scratch.write(pairs, "pairs")
+    groups = pairs.groupBy("a").agg(
+        F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("groups"))
+    firsts = texts.of(groups, "a", "text_a").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    dealt = pairs.join(groups, "a").select(
+        "a", "b", F.pmod(F.hash("b"), F.col("groups")).alias("part"))
+    met = texts.of(dealt, "b", "text_b").join(firsts, ["a", "part"])
+    return scratch.write(met.select("a", "b", "text_a", "text_b").mapInPandas(
         lambda it: _linked(it, size, percent), "a long, b long, linked boolean"), "verified")
 
 
@@ -209,23 +239,26 @@ def _classes(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, size
     classes = scratch.write(
         rows.filter("n > 0").groupBy("n", "digest").agg(
             F.min("id").alias("rep"), F.min(F.struct("id", "text_key", "l", "n_rare")).alias("row"))
-        .withColumn("node", F.monotonically_increasing_id()), "classes")
+        .withColumn("node", F.monotonically_increasing_id())
+        .withColumn("row_key", _row_key(F.col("row.id"), F.col("row.text_key"))), "classes")
     nodes = classes.select("node", "n", F.col("row.l").alias("l"),
                            F.col("row.n_rare").alias("n_rare"))
-    own = classes.select("node", F.col("digest").alias("node_digest"), F.col("row.id").alias("row_id"),
-                         F.col("row.text_key").alias("row_key"))
-    its_row = F.col("id").eqNullSafe(F.col("row_id")) & (F.col("text_key") == F.col("row_key"))
-    prefixes = rows.filter("n > 0").select("id", "text_key", "digest", "prefix").join(
-        own, its_row & (F.col("digest") == F.col("node_digest")))
-    pairs = prefixes.select("node", F.explode(F.array_distinct("prefix")).alias("token"))
+    own = classes.select("node", "row_key")
+    prefixes = rows.filter("n > 0").select(
+        _row_key(F.col("id"), F.col("text_key")).alias("row_key"), "prefix").join(own, "row_key")
+    pairs = prefixes.select("node", F.explode("prefix").alias("token"))
     lists = pairs.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = scratch.write(pairs.join(lists, "token").distinct(), "shared")
     postings = scratch.write(shared.join(nodes, "node"), "postings")
 
     wanted = own.join(postings.select("node").distinct(), "node", "left_semi")
-    keyed = source.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    texts = scratch.write(keyed.join(wanted, its_row).select("node", "text")
-                          .dropDuplicates(["node"]), "texts")
+    keyed = source.select("text", _row_key(F.col("id"), F.md5(
+        F.coalesce("text", F.lit("")).cast("binary"))).alias("row_key"))
+    # Bucketed by the key, so that no later step shuffles texts that it does not need.
+    texts = scratch.write_bucketed(
+        keyed.join(wanted.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]),
+        "row_key")
+    texts = _Texts(texts, own)
     verified = roots = None
     for turn in range(MAX_HUB_ROUNDS):
         rooted = _with_roots(postings, roots)
@@ -283,7 +316,12 @@ def _not_yet(pairs: DataFrame, verified: DataFrame) -> DataFrame:
 
 def _remaining(postings: DataFrame, roots: DataFrame, verified: DataFrame,
                percent: int) -> DataFrame:
-    """Pairs in different components that share enough prefix tokens and were not verified."""
+    """Pairs in different components that share enough prefix tokens and were not verified.
+
+    Besides ``min(l1, l2)``, the shared tokens have to leave the required overlap within reach: of
+    the set whose prefix ends first, all common tokens up to that end are shared prefix tokens,
+    and only the tokens behind it can add to them.
+    """
     rooted = _with_roots(postings, roots)
     still = rooted.join(_open_lists(rooted).select("token"), "token", "left_semi")
     left = still.select("token", F.col("node").alias("a"), F.col("n").alias("na"),
@@ -292,9 +330,13 @@ def _remaining(postings: DataFrame, roots: DataFrame, verified: DataFrame,
                          F.col("l").alias("lb"), F.col("root").alias("rb"))
     pairs = (left.join(right, "token").filter("a < b and ra <> rb")
              .filter(_sizes_fit("na", "nb", percent))
-             .groupBy("a", "b").agg(F.count("*").alias("shared"),
-                                    F.min(F.least("la", "lb")).alias("asked"))
-             .filter("shared >= asked").select("a", "b"))
+             .groupBy("a", "b").agg(
+                 F.count("*").alias("shared"), F.min(F.least("la", "lb")).alias("asked"),
+                 F.min(F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"))
+                 .alias("overlap"),
+                 F.max(F.expr(f"greatest(({percent} * na + 99) div 100 - la, "
+                              f"({percent} * nb + 99) div 100 - lb)")).alias("behind"))
+             .filter("shared >= asked and shared + behind >= overlap").select("a", "b"))
     return _not_yet(pairs, verified)
 
 
