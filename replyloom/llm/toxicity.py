@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import byte_slices, field, frame
+from replyloom.llm.common import Scratch, byte_slices, field, frame
 from replyloom.session import ship_package
 
 #: At most so many labelled rows are learned from, chosen by a hash of their id.
 MAX_LABELLED = 20_000
-#: At most so many candidate arcs reach the driver, those of the most toxic documents first.
-MAX_CANDIDATES = 4_000
+#: So many of the best candidate arcs reach the driver at a time; it asks again when they are used up.
+ARCS_AT_A_TIME = 2_000
 #: An arc has to occur in so many toxic documents, and be this precise at the lower bound.
 MIN_TOXIC, MIN_PRECISION = 4, 0.3
 #: Log-odds of an insult of the word list before anything is learned.
@@ -201,13 +201,16 @@ def held_out(id_col: Column) -> Column:
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
               most: int) -> DataFrame:
+    """Distinct texts of the chosen labels, each with its largest label and a number ``row``."""
     chosen = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
               .filter(~held_out(F.col(id_col)))
               .groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
               .orderBy(F.xxhash64(id_col), id_col).limit(most))
     # At most MAX_LABELLED pairs of numbers.
-    return docs.select(id_col, F.col(text_col).alias("text")).join(
-        F.broadcast(chosen), id_col).select(id_col, "text", "label")
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
+        F.broadcast(chosen), id_col)
+    return rows.groupBy("text").agg(F.max("label").alias("label")).select(
+        "label", "text", F.monotonically_increasing_id().alias("row"))
 
 
 def _tokens_of(text: bytes) -> set[str]:
@@ -216,15 +219,20 @@ def _tokens_of(text: bytes) -> set[str]:
     return {"=" + w for w in words} | {"^" + w[:k] for w in words for k in PREFIXES if len(w) >= k}
 
 
+_COUNTED = "token string, rows array<long>, clean long"
+
+
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    toxic: Counter[str] = Counter()
+    """Toxic rows and number of clean rows of every token."""
+    toxic: defaultdict[str, list[int]] = defaultdict(list)
     clean: Counter[str] = Counter()
+    held = 0
 
     def flushed() -> pa.RecordBatch:
         names = list(toxic.keys() | clean.keys())
         batch = pa.RecordBatch.from_pydict({
             "token": pa.array(names, pa.string()),
-            "toxic": pa.array([toxic[n] for n in names], pa.int64()),
+            "rows": pa.array([toxic.get(n, []) for n in names], pa.list_(pa.int64())),
             "clean": pa.array([clean[n] for n in names], pa.int64())})
         toxic.clear()
         clean.clear()
@@ -232,49 +240,125 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for part, texts in byte_slices(batches):
         labels = part.column(part.schema.get_field_index("label")).to_pylist()
-        for text, label in zip(texts, labels):
-            (toxic if label else clean).update(_tokens_of(text))
-            if len(toxic) + len(clean) > FLUSH_COUNTS:
+        numbers = part.column(part.schema.get_field_index("row")).to_pylist()
+        for text, label, number in zip(texts, labels, numbers):
+            tokens = _tokens_of(text)
+            if label:
+                for token in tokens:
+                    toxic[token].append(number)
+                held += len(tokens)
+            else:
+                clean.update(tokens)
+            if held + len(clean) > FLUSH_COUNTS:
                 yield flushed()
+                held = 0
     yield flushed()
 
 
-def _lower_bound(hits: int, n: int) -> float:
-    """Lower end of Wilson's 95 % interval of a share."""
-    if not n:
-        return 0.0
+def _lower_bound(hits: Column, n: Column) -> Column:
+    """Lower end of Wilson's 95 % interval of a share; ``n`` is not 0."""
     p, z = hits / n, 1.96
     middle = p + z * z / (2 * n)
-    return (middle - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (middle - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _candidates(training: DataFrame) -> DataFrame:
+    """Tokens that are frequent and precise enough: ``token``, ``precise``, ``odds``, toxic ``rows``."""
+    toxic = F.size("rows")
+    return (training.mapInArrow(_counted, _COUNTED)
+            # A list has one number for a toxic training text that holds the token.
+            .groupBy("token").agg(F.flatten(F.collect_list("rows")).alias("rows"),
+                                  F.sum("clean").alias("clean"))
+            .filter(toxic >= MIN_TOXIC)
+            .withColumn("precise", _lower_bound(toxic, toxic + F.col("clean")))
+            .filter(F.col("precise") >= MIN_PRECISION)
+            .select("token", "precise", F.log((toxic + 0.5) / (F.col("clean") + 0.5)).alias("odds"),
+                    "rows"))
+
+
+def _related(one: str, other: str) -> bool:
+    return one[1:].startswith(other[1:]) or other[1:].startswith(one[1:])
 
 
-def _choose(candidates: dict[str, float], held: list[set[str]]) -> list[str]:
-    """Few tokens that cover the toxic documents, each up to COVER times.
+def _choose(candidates: DataFrame, toxic_rows: list[int],
+            at_a_time: int = ARCS_AT_A_TIME) -> dict[str, float]:
+    """Few tokens, with their odds, that cover the toxic rows, each up to COVER times.
 
     Words that only accompany a much copied document add nothing once that document's insults are
     chosen. Of equal gains the longer token wins, then the order of the alphabet.
+
+    Spark ranks all candidates by their present gain and the driver gets the best ``at_a_time``.
+    Gains only fall, so these are the right ones to choose from as long as the best of them is not
+    below the last one as it was ranked; then Spark ranks all anew.
     """
-    where: dict[str, list[int]] = defaultdict(list)
-    for i, tokens in enumerate(held):
-        for token in tokens:
-            where[token].append(i)
-    need = [COVER] * len(held)
-    gains = {t: len(rows) for t, rows in where.items()}
-    chosen: list[str] = []
-    while gains:
-        best = max(gains, key=lambda t: (gains[t] * candidates[t], len(t), t))
-        if gains.pop(best) < MIN_TOXIC:
-            break
-        same = [c for c in chosen if c[1:].startswith(best[1:]) or best[1:].startswith(c[1:])]
-        if any(set(where[best]) <= set(where[c]) for c in same):
-            continue
-        chosen.append(best)
-        for i in where[best]:
-            need[i] -= 1
-            if need[i] == 0:
-                for token in held[i]:
-                    if token in gains:
-                        gains[token] -= 1
+    number = {row: i for i, row in enumerate(toxic_rows)}
+    need = np.full(len(toxic_rows), COVER)
+    chosen: dict[str, float] = {}
+    # Sets of row numbers as bits, MAX_LABELLED of them for a chosen token.
+    where: dict[str, int] = {}
+
+    def bits(rows: Iterable[int]) -> int:
+        flags = np.zeros(len(toxic_rows), np.uint8)
+        flags[list(rows)] = 1
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    def spent(token: str, rows: list[int]) -> bool:
+        """Chosen, or without a row of its own beside a chosen word of the same beginning."""
+        same = [w for c, w in where.items() if _related(c, token)]
+        return bool(same) and any(not bits(rows) & ~w for w in same)
+
+    def best_left() -> list:
+        wanted = need > 0
+
+        def ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept, gains = [], []
+                lists = batch.column(batch.schema.get_field_index("rows"))
+                tokens = batch.column(batch.schema.get_field_index("token")).to_pylist()
+                for i, token in enumerate(tokens):
+                    rows = [number[r] for r in lists[i].as_py()]
+                    gain = int(wanted[rows].sum())
+                    if gain >= MIN_TOXIC and not spent(token, rows):
+                        kept.append(i)
+                        gains.append(gain)
+                part = batch.take(pa.array(kept, pa.int64()))
+                yield frame(part, ["token", "precise", "odds", "rows"],
+                            {"gain": pa.array(gains, pa.int64())})
+
+        schema = "token string, precise double, odds double, rows array<long>, gain long"
+        return (candidates.mapInArrow(ranked, schema)
+                .orderBy(F.desc(F.col("gain") * F.col("precise")), F.desc(F.length("token")),
+                         F.desc("token")).limit(at_a_time).collect())
+
+    while found := best_left():
+        rows_of = {r["token"]: [number[n] for n in r["rows"]] for r in found}
+        precise = {r["token"]: r["precise"] for r in found}
+        odds = {r["token"]: r["odds"] for r in found}
+        gains = {r["token"]: r["gain"] for r in found}
+        holders: dict[int, list[str]] = defaultdict(list)
+        for token, rows in rows_of.items():
+            for i in rows:
+                holders[i].append(token)
+
+        def rank(token: str) -> tuple[float, int, str]:
+            return gains[token] * precise[token], len(token), token
+
+        last = rank(found[-1]["token"])
+        while gains:
+            best = max(gains, key=rank)
+            if len(found) == at_a_time and rank(best) < last:
+                break
+            if gains.pop(best) < MIN_TOXIC:
+                continue
+            if spent(best, rows_of[best]):
+                continue
+            chosen[best], where[best] = odds[best], bits(rows_of[best])
+            for i in rows_of[best]:
+                need[i] -= 1
+                if need[i] == 0:
+                    for token in holders[i]:
+                        if token in gains:
+                            gains[token] -= 1
     return chosen
 
 
@@ -297,33 +381,19 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                   max_labelled: int = MAX_LABELLED) -> Grammar:
     """Fit arcs and weights on at most ``max_labelled`` labelled rows that are not held out.
 
-    Null labels and ids are not learned from; of several labels of an id the largest counts.
-    Without a toxic training row
-    the grammar has its prior arcs and weights.
+    Null labels and ids are not learned from; of several labels of an id the largest counts, and
+    likewise of an equal text, which is learned from once. Without a toxic training row the grammar
+    has its prior arcs and weights.
     """
-    ship_package(docs.sparkSession)
-    training = _training(docs, labels, id_col, text_col, label_col, max_labelled)
-    counts = (training.select("text", "label").mapInArrow(
-        _counted, "token string, toxic long, clean long")
-        .groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter(F.col("toxic") >= MIN_TOXIC)
-        .filter(F.col("toxic") > MIN_PRECISION * (F.col("toxic") + F.col("clean")))
-        .orderBy(F.desc("toxic"), "token").limit(MAX_CANDIDATES).collect())
-    precise = {r["token"]: _lower_bound(r["toxic"], r["toxic"] + r["clean"]) for r in counts}
-    precise = {t: p for t, p in precise.items() if p >= MIN_PRECISION}
-    odds = {r["token"]: math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5)) for r in counts}
-
-    def holds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in byte_slices(batches):
-            own = [sorted(_tokens_of(t) & precise.keys()) for t in texts]
-            yield frame(part, ["label"], {"tokens": pa.array(own, pa.list_(pa.string()))})
-
-    # One row per toxic training row, at most max_labelled.
-    held = [set(r["tokens"]) for r in training.filter("label = 1").select("label", "text")
-            .mapInArrow(holds, "label int, tokens array<string>").collect()]
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    # Written once: every later step reads the labelled sample only.
+    training = scratch.write(_training(docs, labels, id_col, text_col, label_col, max_labelled),
+                             "training")
+    candidates = scratch.write(_candidates(training), "candidates")
+    toxic_rows = [r["row"] for r in training.filter("label <> 0").select("row").collect()]
     grammar = Grammar()
-    for token in _choose(precise, held):
-        (grammar.words if token[0] == "=" else grammar.prefixes)[token[1:]] = max(0.1, odds[token])
+    for token, odds in _choose(candidates, toxic_rows).items():
+        (grammar.words if token[0] == "=" else grammar.prefixes)[token[1:]] = max(0.1, odds)
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arcs, machine = _Arcs(grammar), Composition()
@@ -339,6 +409,7 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         y = np.repeat(np.array([r["label"] for r in rows], float), [r["count"] for r in rows])
         w = _logistic(x, y)
         grammar.weights, grammar.bias = tuple(w[:-1].tolist()), float(w[-1])
+    scratch.drop()
     return grammar
 
 

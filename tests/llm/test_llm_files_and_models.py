@@ -15,7 +15,7 @@ import zstandard
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from replyloom.llm import url_model
+from replyloom.llm import toxicity, url_model
 from replyloom.llm.boosting import fit_trees
 from replyloom.llm.elias_fano import EliasFano, encode
 from replyloom.llm.files import open_folder
@@ -301,3 +301,52 @@ def test_toxicity_edge_cases(spark):
     assert len(rows) == 4 and {r.predicted for r in rows} == {0}
     assert score_documents(odd.limit(0), Grammar()).count() == 0
     assert not odd.select(held_out(odd["doc_id"]).alias("h")).filter("h is null").count()
+
+
+def toxicity_sample(spark, texts):
+    """Documents with labels, under ids that are learned from."""
+    usable = (i for i in range(100_000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(i, text, toxic) for i, (text, toxic) in zip(usable, texts)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return both.select("doc_id", "text"), both.select("doc_id", "toxic")
+
+
+def test_toxicity_learns_rare_insults_beside_a_much_copied_text(spark):
+    # The copied text has over 4,000 tokens, each in more toxic rows than the insult.
+    long = " ".join(f"w{i:05d}x" for i in range(5000))
+    texts = [(long, 1)] * 60 + [(f"zonko day{i}", 1) for i in range(8)]
+    texts += [(f"fine day{i} plain", 0) for i in range(60)]
+    grammar = learn_grammar(*toxicity_sample(spark, texts))
+    assert grammar.words.get("zonko") or any("zonko".startswith(p) for p in grammar.prefixes)
+    assert not any(w.startswith("w0") for w in [*grammar.words, *grammar.prefixes])
+
+
+def test_toxicity_chooses_alike_however_many_arcs_come_at_a_time(spark):
+    rng = random.Random(5)
+    words = [f"{rng.choice(['gra', 'gru', 'blo'])}{rng.choice('abcd')}{i % 9}{i}" for i in range(60)]
+    texts = [(" ".join(rng.sample(words, 6)), 1) for _ in range(80)]
+    texts += [(" ".join(rng.sample(words, 1) + [f"c{i}"]), 0) for i in range(80)]
+    docs, labels = toxicity_sample(spark, texts)
+    training = toxicity._training(docs, labels, "doc_id", "text", "toxic", 1000).toArrow().to_pylist()
+    training = spark.createDataFrame([(r["label"], r["text"], i) for i, r in enumerate(training)],
+                                     "label int, text string, row long")
+    candidates = toxicity._candidates(training).localCheckpoint()
+    toxic_rows = [r.row for r in training.filter("label = 1").collect()]
+    # All candidates in one list, chosen from as the docstring says.
+    left = {r.token: (r.precise, set(r.rows)) for r in candidates.collect()}
+    need, want = dict.fromkeys(toxic_rows, toxicity.COVER), []
+    while True:
+        gains = {t: sum(need[i] > 0 for i in rows) for t, (_, rows) in left.items()}
+        gains = {t: g for t, g in gains.items() if g >= toxicity.MIN_TOXIC}
+        if not gains:
+            break
+        best = max(gains, key=lambda t: (gains[t] * left[t][0], len(t), t))
+        rows = left.pop(best)[1]
+        if any(rows <= w for c, w in want if c[1:].startswith(best[1:]) or best[1:].startswith(c[1:])):
+            continue
+        want.append((best, rows))
+        for i in rows:
+            need[i] -= 1
+    assert len(want) > 5
+    for n in (2000, 3):
+        assert list(toxicity._choose(candidates, toxic_rows, n)) == [t for t, _ in want]
