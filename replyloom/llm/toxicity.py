@@ -144,8 +144,13 @@ class Grammar:
                 "R" if word in REPORTS else "o"), 0.0
 
 
-def _plain(word: bytes) -> str:
-    return word.decode("utf-8", "replace").lower().strip(_TRIM)
+def _words(text: str) -> list[str]:
+    """Raw words, cut at every white space of Unicode, such as no-break spaces."""
+    return text.split()
+
+
+def _plain(word: str) -> str:
+    return word.lower().strip(_TRIM)
 
 
 class _Arcs(dict):
@@ -155,7 +160,7 @@ class _Arcs(dict):
         super().__init__()
         self.grammar = grammar
 
-    def __missing__(self, word: bytes) -> float:
+    def __missing__(self, word: str) -> float:
         if len(self) > WORD_MEMORY:
             self.clear()
         value = self[word] = self.grammar.symbol(_plain(word))[1]
@@ -166,8 +171,8 @@ def clauses(text: str) -> Iterator[list[str]]:
     """Words of each clause; clauses end at line ends and at words that end in a mark."""
     for line in text.split("\n"):
         clause: list[str] = []
-        for word in line.split():
-            clause.append(word.lower().strip(_TRIM))
+        for word in _words(line):
+            clause.append(_plain(word))
             if word.endswith(_CLAUSE_ENDS):
                 yield clause
                 clause = []
@@ -175,14 +180,16 @@ def clauses(text: str) -> Iterator[list[str]]:
             yield clause
 
 
-def features(text: bytes, grammar: Grammar, arcs: dict[bytes, float],
+def features(text: bytes, grammar: Grammar, arcs: dict[str, float],
              machine: Composition) -> list[float]:
     """Log sums of the clauses' events by kind, and of the clauses that have one."""
-    if max(map(arcs.__getitem__, text.split()), default=0.0) <= 0:
+    whole = text.decode("utf-8", "replace")
+    # Texts without a word that can write an event are not read by clauses.
+    if max(map(arcs.__getitem__, _words(whole)), default=0.0) <= 0:
         return [0.0] * (len(KINDS) + 1)
     sums = dict.fromkeys(KINDS, 0.0)
     matched = 0
-    for clause in clauses(text.decode("utf-8", "replace")):
+    for clause in clauses(whole):
         states, total = machine.start, 0.0
         for word in clause:
             symbol, weight = grammar.symbol(word)
@@ -214,7 +221,7 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
 
 def _tokens_of(text: bytes) -> set[str]:
-    words = {_plain(w) for w in set(text.split())}
+    words = {_plain(w) for w in set(_words(text.decode("utf-8", "replace")))}
     words.discard("")
     return {"=" + w for w in words} | {"^" + w[:k] for w in words for k in PREFIXES if len(w) >= k}
 

@@ -350,3 +350,16 @@ def test_toxicity_chooses_alike_however_many_arcs_come_at_a_time(spark):
     assert len(want) > 5
     for n in (2000, 3):
         assert list(toxicity._choose(candidates, toxic_rows, n)) == [t for t, _ in want]
+
+
+@pytest.mark.parametrize("space", ["\u00a0", "\u202f", "\u2003", "\x1c", "\x85", " "])
+def test_toxicity_shortcut_agrees_with_the_grammar_at_every_white_space(space):
+    grammar = Grammar()
+    always = defaultdict(lambda: 1.0)
+    for text in (f"idiot{space}!", f"you{space}idiot", f"I will{space}kill{space}you", f"a{space}b",
+                 f"not{space}an{space}idiot. he said{space}moron"):
+        raw = text.encode()
+        shortcut = toxicity.features(raw, grammar, toxicity._Arcs(grammar), Composition())
+        assert shortcut == toxicity.features(raw, grammar, always, Composition())
+        assert any(shortcut) == (text[0] != "a")
+        assert toxicity._tokens_of(raw) == toxicity._tokens_of(text.replace(space, " ").encode())
