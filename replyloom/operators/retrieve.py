@@ -217,34 +217,105 @@ def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int = K.TOP_K, *,
 
 # --- hashed search -------------------------------------------------------------------
 
-def _with_buckets(df: DataFrame, dims: int, bits: int, tables: int, seed: int) -> DataFrame:
-    """One row per (row, table): the signs of ``bits`` random projections as a bucket number."""
+#: Corpus rows that probes are measured on and queries that they are measured for; the only rows
+#: of the hashed search that reach the driver.
+LSH_SAMPLE_ROWS, LSH_TRIAL_QUERIES = 20_000, 400
+#: Share of the true neighbours that the hashed search has to find on the sample.
+LSH_RECALL = 0.97
+#: More bits a table are not chosen; larger buckets are searched in blocks.
+LSH_BITS = 12
+
+
+def _signs(vectors: np.ndarray, planes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Projections by row, table and bit, and the bucket number in each table."""
+    side = (vectors @ planes).reshape(len(vectors), -1, bits)
+    return side, (side > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _flips(bits: int) -> np.ndarray:
+    """One row for each set of bits that may be flipped."""
+    return np.arange(1 << bits)[:, None] >> np.arange(bits) & 1
+
+
+def _nearest_buckets(side: np.ndarray, own: np.ndarray, bits: int) -> np.ndarray:
+    """All buckets of one table for each query, those whose flipped signs were closest first."""
+    cost = side ** 2 @ _flips(bits).T
+    return own[:, None] ^ np.argsort(cost, axis=1, kind="stable")
+
+
+def measure_lsh(queries: pa.Table, sample: pa.Table, planes: np.ndarray, bits: int, k: int,
+                recall: float) -> tuple[int, int]:
+    """Tables and buckets per table that find ``recall`` of the true ``k`` neighbours in the sample
+    with the fewest buckets in all. All buckets of one table find everything."""
+    tables, everything = planes.shape[1] // bits, 1 << bits
+    if not queries.num_rows or not sample.num_rows:
+        return 1, everything
+    q, c = _matrix(queries.column("embedding")), _matrix(sample.column("embedding"))
+    ids = np.array(sample.column("pair_id").to_pylist(), object)
+    c_bucket = _signs(c, planes, bits)[1]
+    q_side, q_bucket = _signs(q, planes, bits)
+    take = min(k, len(c))
+    places = []  # of every true neighbour's bucket in its query's order, by table
+    for i, exclude in enumerate(queries.column("exclude_id").to_pylist()):
+        score = q[i] @ c.T
+        score[ids == exclude] = -np.inf
+        best = np.argsort(-score, kind="stable")[:take]
+        best = best[np.isfinite(score[best])]
+        place = np.empty((len(best), tables), np.int64)
+        for t in range(tables):
+            order = _nearest_buckets(q_side[i:i + 1, t], q_bucket[i:i + 1, t], bits)[0]
+            place[:, t] = np.argsort(order)[c_bucket[best, t]]
+        places.append(place)
+    found = np.minimum.accumulate(np.concatenate(places), axis=1)
+    if not len(found):
+        return 1, everything
+    choices = []
+    for t in range(tables):
+        share = np.cumsum(np.bincount(found[:, t], minlength=everything)) / len(found)
+        probes = int(np.searchsorted(share, min(recall, share[-1])) + 1)
+        choices.append(((t + 1) * probes, t + 1, probes))
+    return min(choices)[1:]
+
+
+def _with_buckets(df: DataFrame, planes: np.ndarray, bits: int, probes: int = 1) -> DataFrame:
+    """One row per (row, table, probed bucket): the signs of ``bits`` random projections as a
+    bucket number, and the buckets whose signs differ where the projections are smallest."""
     ship_package(df.sparkSession)
     names = df.columns
     schema = T.StructType(df.schema.fields + [T.StructField("buckets", T.ArrayType(T.LongType()))])
+    tables = planes.shape[1] // bits
+    step = max(1, _MATRIX_ELEMENTS >> bits)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
-        weights = 1 << np.arange(bits, dtype=np.int64)
         offset = np.arange(tables, dtype=np.int64) << bits
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            signs = (_matrix(batch.column("embedding")) @ planes > 0).astype(np.int64)
-            number = signs.reshape(-1, tables, bits) @ weights + offset
-            ends = pa.array(np.arange(0, number.size + 1, tables, dtype=np.int32))
-            buckets = pa.ListArray.from_arrays(ends, pa.array(number.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, buckets], [*names, "buckets"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                side, number = _signs(_matrix(batch.column("embedding")), planes, bits)
+                if probes > 1:
+                    number = np.stack([_nearest_buckets(side[:, t], number[:, t], bits)[:, :probes]
+                                       + offset[t] for t in range(tables)], axis=1)
+                else:
+                    number = (number + offset)[:, :, None]
+                number = number.reshape(batch.num_rows, -1)
+                ends = pa.array(np.arange(0, number.size + 1, number.shape[1], dtype=np.int32))
+                buckets = pa.ListArray.from_arrays(ends, pa.array(number.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, buckets], [*names, "buckets"])
 
     return df.mapInArrow(run, schema).select(*names, F.explode("buckets").alias("bucket"))
 
 
 def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = K.TOP_K, *, tables: int = 8,
             bits: int | None = None, seed: int = 42, block_rows: int = BLOCK_ROWS,
-            complete: bool = True) -> DataFrame:
+            complete: bool = True, recall: float = LSH_RECALL) -> DataFrame:
     """Approximate :func:`knn_exact`: only rows that share a hash bucket are compared, with their
-    exact similarity. Finds each pair id once. Recall falls as ``bits`` grow against ``tables``;
-    :mod:`replyloom.operators.cells` searches by a recall target instead.
+    exact similarity. Finds each pair id once.
+
+    By default buckets get about 256 rows, and how many of the ``tables`` are used and how many
+    neighbouring buckets a query probes in each is measured: the fewest that find ``recall`` of the
+    true neighbours in a sample of the corpus, for a sample of the queries. Where that is as many
+    buckets as a table has, the exact search is run. With ``bits`` given, only a query's own bucket
+    is probed in every table and recall falls as ``bits`` grow against ``tables``.
 
     A bucket larger than ``block_rows`` is split into blocks like the exact search, so one hot
     bucket becomes many tasks. The bucket sizes (at most ``tables`` * 2^``bits`` rows) are
@@ -257,10 +328,20 @@ def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = K.TOP_K, *, tables:
     n_corpus, folded = _size_and_copies(c)
     if folded:
         c = c.dropDuplicates(["pair_id", "embedding"])
-    if bits is None:
-        bits = max(1, math.ceil(math.log2(max(2, n_corpus / 256))))
-    qb = _with_buckets(q, probe["dims"], bits, tables, seed)
-    cb = _with_buckets(c, probe["dims"], bits, tables, seed)
+    measured = bits is None
+    if measured:
+        bits = min(LSH_BITS, max(1, math.ceil(math.log2(max(2, n_corpus / 256)))))
+    planes = np.random.default_rng(seed).standard_normal((probe["dims"], tables * bits))
+    probes = 1
+    if measured:
+        trial = q.orderBy(F.xxhash64("query_id")).limit(LSH_TRIAL_QUERIES).toArrow()
+        sample = c.orderBy(F.xxhash64("pair_id")).limit(LSH_SAMPLE_ROWS).toArrow()
+        used, probes = measure_lsh(trial, sample, planes, bits, k, recall)
+        if used * probes >= 1 << bits and not folded:
+            return knn_exact(queries, c, k, block_rows=block_rows)
+        planes = planes[:, :used * bits]
+    qb = _with_buckets(q, planes, bits, probes)
+    cb = _with_buckets(c, planes, bits)
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("bucket").agg(

@@ -1,6 +1,7 @@
 """Search against brute force, copies, exclusions, re-ranking and grounding."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,35 @@ def test_cell_index_reaches_its_recall_target(spark):
         knn_cells(queries, index, "another", 3)
     nothing = build_index(corpus.limit(0), "mine")
     assert knn_cells(queries, nothing, "mine", 3).count() == 0
+
+
+def test_hashing_keeps_its_recall_as_buckets_multiply(spark):
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal((12_000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    corpus = spark.createDataFrame([(f"p{i:05d}", v.tolist()) for i, v in enumerate(vectors)],
+                                   "pair_id string, embedding array<float>")
+    queries = corpus.where("pair_id < 'p00300'").selectExpr(
+        "pair_id AS query_id", "pair_id AS exclude_id", "embedding")
+    # Six bits by the size of the corpus; its own buckets alone find far less.
+    exact = R.knn_exact(queries, corpus, 3).localCheckpoint()
+    found = R.knn_lsh(queries, corpus, 3, complete=False).localCheckpoint()
+    recall = R.recall_at_k(found, exact).first()["recall"]
+    print("recall", recall)
+    assert recall > 0.9
+    both = found.join(exact.withColumnRenamed("similarity", "wanted"), ["query_id", "pair_id"])
+    assert both.where("abs(similarity - wanted) > 1e-6").isEmpty()
+
+
+def test_measured_probes_are_fewer_than_all_and_reach_the_recall():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((200, 32))
+    vectors = np.repeat(centres, 20, axis=0) + 0.2 * rng.standard_normal((4000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    table = pa.table({"pair_id": [str(i) for i in range(4000)], "embedding": vectors.tolist()})
+    trial = pa.table({"exclude_id": [str(i) for i in range(0, 4000, 40)],
+                      "embedding": vectors[::40].tolist()})
+    planes = rng.standard_normal((32, 8 * 8))
+    tables, probes = R.measure_lsh(trial, table, planes, 8, 3, 0.97)
+    assert 1 <= tables <= 8 and tables * probes < 128
+    assert R.measure_lsh(trial, table, planes[:, :8], 8, 3, 1.0)[1] >= probes
