@@ -67,7 +67,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(_table(spark, sf_dir, "pages"))
+    return judge_urls(_table(spark, sf_dir, "pages"), whole_url=True)
 
 
 @_query

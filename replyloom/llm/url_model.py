@@ -123,7 +123,8 @@ def _threshold(scored: DataFrame) -> float:
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-               rules: Sequence[tuple[str, str]] = RULES, order: int = ORDER) -> DataFrame:
+               rules: Sequence[tuple[str, str]] = RULES, order: int = ORDER,
+               whole_url: bool = False) -> DataFrame:
     """Per page: the id, ``host``, ``path``, ``rule``, ``verdict``, ``score`` and ``threshold``.
 
     The verdict is the rule's (a rule fits its host and all subdomains, and paths that begin with
@@ -131,6 +132,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     null or has no ``://`` has an empty host and path and is judged as the empty text. Without
     any URL that a rule decides both models are uniform, every score is 0 and passes. Repeated
     rows come back repeated; other columns are not read.
+
+    The models read host and path; with ``whole_url`` the URL as it stands, with scheme, query and
+    fragment (null as the empty text). Rules and output columns are the same either way.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col(url_col))
@@ -139,9 +143,11 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         verdicts = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(verdicts)
     # Written once: the parsed URLs are read by every later step.
     parsed = scratch.write(
-        pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+        pages.select(F.col(id_col), host.alias("host"), path.alias("path"),
+                     (F.coalesce(F.col(url_col), F.lit("")) if whole_url
+                      else F.concat(host, path)).alias("text"))
         .withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
-        .withColumn("by_rule", verdicts).withColumn("text", F.concat("host", "path")), "parsed")
+        .withColumn("by_rule", verdicts), "parsed")
     held_out = F.pmod(F.xxhash64("host"), F.lit(HELD_OUT)) == 0
     texts = scratch.write(
         parsed.groupBy("host", "text", "by_rule").agg(F.count("*").alias("copies"))

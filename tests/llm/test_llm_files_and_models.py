@@ -20,6 +20,7 @@ from replyloom.llm.boosting import fit_trees
 from replyloom.llm.elias_fano import EliasFano, encode
 from replyloom.llm.files import open_folder
 from replyloom.llm.html_extract import Page, decode, extract, extract_main_text, train_extractor
+from replyloom.llm.queries import QUERIES
 from replyloom.llm.token_store import ChunkEncoder, ShardReader, read_store, write_store
 from replyloom.llm.toxicity import (Composition, Grammar, held_out, learn_grammar, score_documents)
 from replyloom.llm.url_model import judge_urls
@@ -363,3 +364,19 @@ def test_toxicity_shortcut_agrees_with_the_grammar_at_every_white_space(space):
         assert shortcut == toxicity.features(raw, grammar, always, Composition())
         assert any(shortcut) == (text[0] != "a")
         assert toxicity._tokens_of(raw) == toxicity._tokens_of(text.replace(space, " ").encode())
+
+
+def test_url_query_scores_scheme_query_and_fragment(spark, tmp_path):
+    urls = [f"http://h{i}.net/a{i}?spam=1" for i in range(30)]
+    urls += [f"https://h{i}.org/fr/a{i}?page=2#top" for i in range(30)]
+    free = ["http://x.edu/a?spam=1", "http://x.edu/a?page=2#top", "https://x.edu/a", None]
+    rows = list(enumerate(urls + free))
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in QUERIES["op5_url_filters"](spark, str(tmp_path)).collect()}
+    texts = [u or "" for _, u in rows]
+    folds = [r[0] for r in spark.createDataFrame([(i, got[i].host) for i in range(len(rows))], "i int, h string")
+             .orderBy("i").selectExpr(f"pmod(xxhash64(h), {url_model.HELD_OUT}) = 0").collect()]
+    training = [(texts[i], i >= 30) for i in range(60) if not folds[i]]
+    for i in range(60, 64):
+        assert abs(got[i].score - brute_difference(texts[i], training, url_model.ORDER)) < 1e-6
+    assert got[60].score < got[61].score and (got[60].host, got[60].path) == ("x.edu", "/a")
