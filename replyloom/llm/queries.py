@@ -16,6 +16,7 @@ from replyloom.llm.token_store import read_store, write_store
 from replyloom.llm.toxicity import learn_grammar, score_documents
 from replyloom.llm.url_model import judge_urls
 from replyloom.llm.warc_store import read_archives, write_archives
+from replyloom.llm.whitening import whiten
 from replyloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_amounts(_table(spark, sf_dir, "documents"))
 
+
+@_query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
