@@ -12,6 +12,7 @@ from replyloom.llm.jaccard import shingle_classes
 from replyloom.llm.mixing import mix_amounts
 from replyloom.llm.packing import pack_documents
 from replyloom.llm.quality import line_quality
+from replyloom.llm.repeats import remove_repeats
 from replyloom.llm.token_store import read_store, write_store
 from replyloom.llm.toxicity import learn_grammar, score_documents
 from replyloom.llm.url_model import judge_urls
@@ -128,3 +129,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
