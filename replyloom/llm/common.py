@@ -32,6 +32,7 @@ class Scratch:
         self.spark = spark
         self.root = scratch_path(spark, label)
         self._tables: list[str] = []
+        self._written: list[tuple[DataFrame, str]] = []
         ship_package(spark)
 
     def path(self, name: str) -> str:
@@ -41,7 +42,16 @@ class Scratch:
         path = self.path(name)
         df.write.parquet(path)
         self._release()
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._written.append((table, path))
+        return table
+
+    def forget(self, *tables: DataFrame) -> None:
+        """Delete tables of :meth:`write` that no later step reads."""
+        for table in tables:
+            for entry in [e for e in self._written if e[0] is table]:
+                delete_folder(self.spark, entry[1])
+                self._written.remove(entry)
 
     def write_bucketed(self, df: DataFrame, key: str) -> DataFrame:
         """A table whose buckets by ``key`` later joins read without a shuffle."""

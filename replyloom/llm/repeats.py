@@ -287,16 +287,18 @@ class _Sort:
             lambda it: _run_rows(it, window, anchor), self.RECORD)
         return self.scratch.write(runs.join(anchors, "anchor"), "runs")
 
-    def groups(self, records: DataFrame) -> DataFrame:
-        """First place and size of every group of equal digits."""
+    def groups(self, records: DataFrame, least: int) -> DataFrame:
+        """First place and size of the groups of equal digits with ``least`` places or more."""
         return self.scratch.write(records.groupBy("anchor", "digit").agg(
-            F.min(F.struct("node", "run")).alias("head"), F.count("*").alias("places")), "groups")
+            F.min(F.struct("node", "run")).alias("head"), F.count("*").alias("places")
+        ).filter(F.col("places") >= least), "groups")
 
     def later(self, records: DataFrame, groups: DataFrame) -> DataFrame:
         """Records that are not the first of their group."""
-        return records.join(groups.filter("places > 1"), ["anchor", "digit"]).filter(
-            (F.col("node") != F.col("head.node")) | (F.col("run") != F.col("head.run"))
-        ).select("node", "run")
+        return self.scratch.write(
+            records.join(groups.filter("places > 1"), ["anchor", "digit"]).filter(
+                (F.col("node") != F.col("head.node")) | (F.col("run") != F.col("head.run"))
+            ).select("node", "run"), "later")
 
     def split(self, records: DataFrame, step: int) -> DataFrame:
         """The next digit of the records, for parts of ``step`` windows."""
@@ -310,15 +312,20 @@ class _Sort:
     def removed_windows(self) -> DataFrame:
         """``node, run`` of all windows that start earlier elsewhere."""
         runs = self.repeated_runs()
-        heads = self.groups(runs)
-        gone = self.later(runs, heads)
-        several = self.scratch.write(
-            heads.groupBy("anchor").count().filter("count > 1").select("anchor"), "several")
-        left = heads.select("anchor", "digit", "head.node", "head.run").join(several, "anchor")
+        heads = self.groups(runs, 1)
+        copies = self.later(runs, heads)
+        self.scratch.forget(runs)
+        several = heads.groupBy("anchor").count().filter("count > 1").select("anchor")
+        left = self.scratch.write(
+            heads.select("anchor", "digit", "head.node", "head.run").join(
+                self.scratch.write(several, "several"), "anchor"), "left")
+        self.scratch.forget(heads)
         parts = self.split(left, STEP)
-        shared = self.groups(parts).filter("places > 1").select("anchor", "digit")
-        windows = self.split(parts.join(shared, ["anchor", "digit"]), 1)
-        return gone.unionByName(self.later(windows, self.groups(windows)))
+        shared = self.groups(parts, 2)
+        windows = self.split(
+            parts.join(shared.select("anchor", "digit"), ["anchor", "digit"]), 1)
+        self.scratch.forget(left, parts, shared)
+        return copies.unionByName(self.later(windows, self.groups(windows, 2)))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
