@@ -3,12 +3,16 @@
 A document is read clause by clause. Five small transducers run side by side over the words of a
 clause: insult, threat, target, negation and reported speech. Their composition, built state by
 state as it is needed, writes an event for every insult and every completed threat, which says
-whether it was negated, reported or aimed at somebody. A clause's events are summed by kind, and a
-logistic model over the sums of the clauses gives the score. Words on their own score nothing.
-
-A short list of insults is the prior; further arcs are learned: from labelled training rows Spark counts the documents of either
-class for every word and word beginning, and a covering rule picks few that together explain the
-toxic ones. The arcs' weights are log-odds; the weights of the event kinds are fitted afterwards.
+whether it was negated, reported or aimed at somebody. An event's value is the weight of its arc
+times a factor for each mark, as weights multiply along a path: aimed insults count more than bare
+ones, negated and reported ones little. A logistic model over the sum of the values, and over how
+many clauses hold them, gives the score. Its weights are not negative, so that a higher value never
+lowers the score. Words that write no event score nothing.
+
+A short list of insults is the prior; further arcs are learned: from labelled training rows Spark
+counts the documents of either class for every word and word beginning, and a covering rule picks
+few that together explain the toxic ones. The arcs' weights are the logs of how much they raise the
+odds; a threat weighs as the heaviest insult does.
 """
 
 from __future__ import annotations
@@ -34,8 +38,15 @@ ARCS_AT_A_TIME = 2_000
 MIN_TOXIC, MIN_PRECISION = 4, 0.3
 #: Log-odds of an insult of the word list before anything is learned.
 PRIOR_ODDS = 3.0
+LEAST_WEIGHT = 0.1
 #: A toxic document counts for choosing arcs until so many arcs hold for it.
 COVER = 4
+#: Factor of an event for each of its marks: aimed, negated, reported.
+MARKS = {"g": 1.5, "n": 0.1, "r": 0.1}
+#: Weights of the features and the bias before anything is learned.
+PRIOR_WEIGHTS, PRIOR_BIAS = (1.0, 1.0, 1.0), -4.0
+#: Value from which a clause counts whole.
+WHOLE_CLAUSE = 2.0
 PREFIXES = (4, 5, 6, 7, 8)
 WORD_MEMORY = 500_000
 FLUSH_COUNTS = 200_000
@@ -113,16 +124,6 @@ class Composition:
         return self._table[key]
 
 
-#: Kinds of events that are summed apart.
-KINDS = ("I", "In", "Ir", "Ig", "T")
-
-
-def _kind(event: str) -> str:
-    if event[0] == "T":
-        return "T"
-    return next((k for k in ("In", "Ir", "Ig") if k[1] in event), "I")
-
-
 @dataclass
 class Grammar:
     """Arcs with their weights, and the logistic weights of the event sums."""
@@ -130,8 +131,9 @@ class Grammar:
     words: dict[str, float] = dataclass_field(
         default_factory=lambda: dict.fromkeys(INSULTS, PRIOR_ODDS))
     prefixes: dict[str, float] = dataclass_field(default_factory=dict)
-    bias: float = -3.0
-    weights: tuple[float, ...] = (1.0,) * (len(KINDS) + 1)
+    threat: float = PRIOR_ODDS
+    bias: float = PRIOR_BIAS
+    weights: tuple[float, ...] = PRIOR_WEIGHTS
 
     def symbol(self, word: str) -> tuple[str, float]:
         weight = max([self.words.get(word, 0.0),
@@ -139,7 +141,7 @@ class Grammar:
         if weight:
             return "I", weight
         if word in THREATS:
-            return "T", 1.0
+            return "T", self.threat
         return ("G" if word in TARGETS else "N" if word in NEGATIONS else
                 "R" if word in REPORTS else "o"), 0.0
 
@@ -180,25 +182,39 @@ def clauses(text: str) -> Iterator[list[str]]:
             yield clause
 
 
+def event_value(event: str, weight: float) -> float:
+    """Value of an event such as ``In``: its arc's weight and the factors of its marks."""
+    for mark in event[1:]:
+        # A threat is complete only with its target, so that adds nothing.
+        weight *= 1.0 if (event[0], mark) == ("T", "g") else MARKS[mark]
+    return weight
+
+
+def clause_value(clause: list[str], grammar: Grammar, machine: Composition) -> float:
+    """Sum of the values of the events that the composed transducers write for one clause."""
+    states, total = machine.start, 0.0
+    for word in clause:
+        symbol, weight = grammar.symbol(word)
+        states, event = machine.step(states, symbol)
+        if event:
+            # The word that completes a threat need not be the one that began it.
+            total += event_value(event, grammar.threat if event[0] == "T" else weight)
+    return total
+
+
 def features(text: bytes, grammar: Grammar, arcs: dict[str, float],
              machine: Composition) -> list[float]:
-    """Log sums of the clauses' events by kind, and of the clauses that have one."""
+    """Logs of the sum of the events' values, of the number of clauses that have them, and of the
+    value in a hundred words."""
     whole = text.decode("utf-8", "replace")
+    words = _words(whole)
     # Texts without a word that can write an event are not read by clauses.
-    if max(map(arcs.__getitem__, _words(whole)), default=0.0) <= 0:
-        return [0.0] * (len(KINDS) + 1)
-    sums = dict.fromkeys(KINDS, 0.0)
-    matched = 0
-    for clause in clauses(whole):
-        states, total = machine.start, 0.0
-        for word in clause:
-            symbol, weight = grammar.symbol(word)
-            states, event = machine.step(states, symbol)
-            if event:
-                total += weight or 1.0
-                sums[_kind(event)] += weight or 1.0
-        matched += total > 0
-    return [math.log1p(v) for v in sums.values()] + [math.log1p(matched)]
+    if max(map(arcs.__getitem__, words), default=0.0) <= 0:
+        return [0.0] * len(PRIOR_WEIGHTS)
+    values = [clause_value(clause, grammar, machine) for clause in clauses(whole)]
+    total = sum(values)
+    return [math.log1p(total), math.log1p(sum(min(1.0, v / WHOLE_CLAUSE) for v in values)),
+            math.log1p(100 * total / max(100, len(words)))]
 
 
 def held_out(id_col: Column) -> Column:
@@ -369,16 +385,24 @@ def _choose(candidates: DataFrame, toxic_rows: list[int],
     return chosen
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights and, last, the bias: Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights, none negative, and, last, the bias; drawn to the prior by a small ridge.
+
+    ``times`` says how often each row counts. Newton steps of one coordinate at a time, which
+    converge as the loss is convex and each bound concerns one coordinate.
+    """
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+    prior = np.array([*PRIOR_WEIGHTS, PRIOR_BIAS])
+    least = np.array([0.0] * len(PRIOR_WEIGHTS) + [-np.inf])
+    w = prior.copy()
+    for _ in range(500):
+        before = w.copy()
+        for k in range(len(w)):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = (times * (p - y)) @ x[:, k] + ridge * (w[k] - prior[k])
+            curve = (times * (p * (1 - p) + 1e-6)) @ x[:, k] ** 2 + ridge
+            w[k] = max(least[k], w[k] - np.clip(slope / curve, -2, 2))
+        if np.abs(w - before).max() < 1e-6:
             break
     return w
 
@@ -398,9 +422,14 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                              "training")
     candidates = scratch.write(_candidates(training), "candidates")
     toxic_rows = [r["row"] for r in training.filter("label <> 0").select("row").collect()]
+    n_clean = training.filter("label = 0").count()
+    # Evidence for toxicity: by how much an arc raises the odds above those of any text.
+    usual = math.log((len(toxic_rows) + 1) / (n_clean + 1))
     grammar = Grammar()
     for token, odds in _choose(candidates, toxic_rows).items():
-        (grammar.words if token[0] == "=" else grammar.prefixes)[token[1:]] = max(0.1, odds)
+        (grammar.words if token[0] == "=" else grammar.prefixes)[token[1:]] = max(
+            LEAST_WEIGHT, odds - usual)
+    grammar.threat = max(*grammar.words.values(), *grammar.prefixes.values())
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arcs, machine = _Arcs(grammar), Composition()
@@ -412,9 +441,9 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = fitted.groupBy("label", "x").count().orderBy("label", "x").collect()
     if len({r["label"] for r in rows}) == 2:
         # Equal feature rows come with their number, so the sample stays small.
-        x = np.repeat(np.array([r["x"] for r in rows]), [r["count"] for r in rows], axis=0)
-        y = np.repeat(np.array([r["label"] for r in rows], float), [r["count"] for r in rows])
-        w = _logistic(x, y)
+        w = _logistic(np.array([r["x"] for r in rows]),
+                      np.array([float(r["label"] != 0) for r in rows]),
+                      np.array([r["count"] for r in rows], float))
         grammar.weights, grammar.bias = tuple(w[:-1].tolist()), float(w[-1])
     scratch.drop()
     return grammar

@@ -16,6 +16,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from replyloom.llm import toxicity, url_model
+from replyloom.llm.common import Scratch
 from replyloom.llm.boosting import fit_trees
 from replyloom.llm.elias_fano import EliasFano, encode
 from replyloom.llm.files import open_folder
@@ -299,11 +300,70 @@ def test_toxicity_edge_cases(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     grammar = learn_grammar(odd, labels)
     rows = score_documents(odd, grammar).collect()
-    assert len(rows) == 4 and {r.predicted for r in rows} == {0}
+    # Nothing toxic to learn from: the prior insults count, and texts without words score low.
+    assert len(rows) == 4
+    assert sorted((str(r.doc_id), r.predicted) for r in rows) == [
+        ("1", 0), ("1", 0), ("2", 1), ("None", 0)]
     assert score_documents(odd.limit(0), Grammar()).count() == 0
     assert not odd.select(held_out(odd["doc_id"]).alias("h")).filter("h is null").count()
 
 
+def plain_score(text, grammar):
+    """The score with every event found by looking around in its clause, without transducers."""
+    values = []
+    for line in text.split("\n"):
+        clause, words = [], line.split()
+        for at, word in enumerate(words, 1):
+            clause.append(word)
+            if word.endswith((".", "!", "?", ";", ":", "…")) or at == len(words):
+                symbols = [grammar.symbol(toxicity._plain(w)) for w in clause]
+                kinds = [k for k, _ in symbols]
+                total = 0.0
+                for i, (kind, weight) in enumerate(symbols):
+                    near = kinds[max(0, i - 5):i]
+                    threat = kind == "G" and "T" in near and "G" not in near[::-1][:near[::-1].index("T")]
+                    if kind == "I" or threat:
+                        value = grammar.threat if threat else weight
+                        value *= 1.5 if kind == "I" and "G" in near else 1.0
+                        value *= 0.1 if "N" in kinds[max(0, i - 3):i] else 1.0
+                        value *= 0.1 if "R" in kinds[:i] else 1.0
+                        total += value
+                values.append(total)
+                clause = []
+    total, n_words = sum(values), len(text.split())
+    x = [np.log1p(total), np.log1p(sum(min(1, v / 2) for v in values)),
+         np.log1p(100 * total / max(100, n_words))]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, grammar.weights) + grammar.bias, -30, 30)))
+
+
+def test_toxicity_scores_against_a_plain_scorer(spark):
+    rng = random.Random(5)
+    words = ["you", "idiot", "moron", "not", "never", "said", "kill", "burn", "them", "weather",
+             "tree", "house.", "rain;", "snow", "no", "stone", "sea", "wind", "sky", "lake"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 4, 9, 30, 200))))
+             for _ in range(300)] + ["", "idiot\nidiot"]
+    grammar = Grammar(words={"idiot": 4.0, "moron": 1.5}, threat=3.0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_documents(docs, grammar).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(text, grammar), abs=1e-12), text
+
+
+def test_clauses_decide_the_order_of_scores(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    grammar = learn_grammar(docs, labels)
+    texts = ["idiot", "you idiot", "I will kill you", "you are not an idiot",
+             "he said you are an idiot", "a fine day", "I will not kill you", "kill the lights"]
+    rows = score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                           grammar).orderBy("doc_id").collect()
+    bare, aimed, threat, negated, reported, clean, denied, harmless = (r.score for r in rows)
+    assert aimed > bare > 0.3 and threat > 0.3
+    assert max(negated, reported, denied) < 0.3 and max(negated, reported, denied) < bare
+    assert clean == harmless < 0.1
+    assert all(w >= 0 for w in grammar.weights)
+
+
 def toxicity_sample(spark, texts):
     """Documents with labels, under ids that are learned from."""
     usable = (i for i in range(100_000) if zlib.crc32(str(i).encode()) % 4 != 2)
@@ -331,7 +391,7 @@ def test_toxicity_chooses_alike_however_many_arcs_come_at_a_time(spark):
     training = toxicity._training(docs, labels, "doc_id", "text", "toxic", 1000).toArrow().to_pylist()
     training = spark.createDataFrame([(r["label"], r["text"], i) for i, r in enumerate(training)],
                                      "label int, text string, row long")
-    candidates = toxicity._candidates(training).localCheckpoint()
+    candidates = Scratch(spark, "test").write(toxicity._candidates(training), "candidates")
     toxic_rows = [r.row for r in training.filter("label = 1").collect()]
     # All candidates in one list, chosen from as the docstring says.
     left = {r.token: (r.precise, set(r.rows)) for r in candidates.collect()}
