@@ -274,7 +274,9 @@ def read_store(manifest: DataFrame, uri: str, id_col: str = "doc_id",
         for batch in _read(batches, uri):
             yield batch if with_ids else batch.select(["id", "start", "n_tokens", "ids_crc32"])
 
-    shards = manifest.select("file", "start").repartition(F.col("file"))
+    # A number of its own keeps Spark from merging the few names into one task.
+    shards = manifest.select("file", "start")
+    shards = shards.repartitionByRange(max(1, shards.count()), "start")
     schema = "id long, start long, n_tokens long, ids_crc32 long"
     rows = shards.mapInArrow(read, schema + (", ids array<int>" if with_ids else ""))
     return rows.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed(

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import zstandard
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from replyloom.llm import toxicity, url_model
@@ -68,6 +69,12 @@ def test_chunks_encode_as_the_whole_text():
         assert np.frombuffer(got, "<u2").tolist() == expected, repr(text)
 
 
+def tasks_of(df):
+    """Tasks that give rows, with adaptive merging of small partitions on."""
+    assert df.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    return df.select(F.spark_partition_id().alias("part")).distinct().count()
+
+
 def test_token_store_round_trip(spark):
     library = Tokenizer.from_file(TOKENIZER)
     rows = [(i * 3 - 5, t, i) for i, t in enumerate(ODD_TEXTS * 3)] + [(None, "null id", 1)]
@@ -84,6 +91,7 @@ def test_token_store_round_trip(spark):
         assert r.ids == ids and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert manifest.count() > 1
+    assert tasks_of(read_store(manifest, folder)) == manifest.count()
     shard = manifest.first()
     reader = ShardReader(folder, shard["file"])
     assert reader.bounds.select(len(reader) - 1) == shard["n_ids"]
@@ -105,6 +113,8 @@ def test_archives_round_trip(spark, min_bytes):
     folder = scratch_path(spark, "warc")
     index = write_archives(pages, folder, min_bytes=min_bytes, frame_bytes=600, bundle_bytes=2000)
     got = read_archives(index, folder, with_payload=True).collect()
+    many = write_archives(pages, folder, min_bytes=min_bytes, frame_bytes=100, bundle_bytes=1)
+    assert tasks_of(read_archives(many, folder)) == many.select("bundle").distinct().count() > 2
     groups = defaultdict(list)
     for page_id, _, body, _ in page_rows():
         groups[(body or "").encode()].append(page_id)
