@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from replyloom.llm.common import Scratch, byte_slices, field, frame
 from replyloom.llm.files import make_folder, open_folder
+from replyloom.operators.keys import lookup_join
 from replyloom.session import ship_package
 
 #: Fixed values of the seekable format.
@@ -200,11 +201,11 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
                                                  "id long, digest string, n_bytes long")
     keyed = scratch.write(keyed, "digests")
     # The payload length is part of the key; rows below the limit stand alone.
-    groups = keyed.filter(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(
+    keyed = keyed.withColumn("payload", F.struct("digest", "n_bytes"))
+    groups = keyed.filter(F.col("n_bytes") >= min_bytes).groupBy(F.col("payload").alias("group")).agg(
         F.max(F.struct("id")).alias("best"), F.count("*").alias("copies")).filter("copies > 1")
-    marked = keyed.join(
-        groups.select(F.col("digest").alias("g_digest"), F.col("n_bytes").alias("g_bytes"), "best"),
-        (F.col("digest") == F.col("g_digest")) & (F.col("n_bytes") == F.col("g_bytes")))
+    # A third of all pages may be empty: a join that AQE can split.
+    marked = lookup_join(keyed, groups, "payload", "group")
     verdicts = scratch.write(
         marked.select(F.coalesce("id", F.lit(NULL_ID)).alias("v_key"),
                       F.col("digest").alias("v_digest"), F.col("best.id").alias("keep_id"),
@@ -274,7 +275,9 @@ def read_archives(index: DataFrame, uri: str, id_col: str = "page_id",
     ship_package(index.sparkSession)
     schema = ("id long, url string, payload_bytes long, payload_digest string, record_type string, "
               "refers_to long, bundle string, frame int, frame_offset long")
+    # A number of its own keeps Spark from merging the few names into one task.
     bundles = index.select("bundle").distinct()
+    bundles = bundles.repartitionByRange(max(1, bundles.count()), "bundle")
     rows = bundles.mapInArrow(lambda it: _read(it, uri, with_payload),
                               schema + (", payload binary" if with_payload else ""))
     return rows.withColumnRenamed("id", id_col)
