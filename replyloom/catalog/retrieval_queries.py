@@ -8,10 +8,11 @@ from replyloom import constants as K
 from replyloom.catalog import views as V
 from replyloom.catalog.message_queries import CLASSIFIED_CTES, in_sql, reasons_sql
 from replyloom.catalog.registry import query
-from replyloom.operators import cells as C, features, retrieve as R
+from replyloom.operators import cells as C, features, pruned as P, quantised as Q, retrieve as R
 from replyloom.operators.keys import grounding_leak
 from replyloom.operators.scoring import draft_reply
-from replyloom.plans.triage import stored_answers, triage, triage_batch
+from replyloom.plans.triage import (index_corpus, stored_answers, triage, triage_batch,
+                                    triage_stored)
 from replyloom.schemas import PREDICTIONS
 from replyloom.session import scratch_path
 from replyloom.sources import io
@@ -92,16 +93,62 @@ def r3(spark, sf_dir):
 
 @query("r3_knn_cells_recall", "SELECT TRUE AS reached, count(*) AS n_queries FROM corpus", (V.CORPUS_SQL,))
 def r3_cells(spark, sf_dir):
-    """Whether the stored index finds 95 % of the true top 3 of every corpus row."""
+    """Whether the stored index finds 95 % of the true top 3 of every corpus row, in cells small
+    enough that not all of them are probed."""
     corpus = V.corpus(spark, sf_dir)
     queries = corpus.select(F.col("pair_id").alias("query_id"), F.col("pair_id").alias("exclude_id"),
                             "embedding")
-    found = C.knn_cells(queries, C.build_index(corpus, K.DEFAULT_ENCODER, k=3), K.DEFAULT_ENCODER, 3)
+    index = C.build_index(corpus, K.DEFAULT_ENCODER, k=3, rows_per_cell=10)
+    found = C.knn_cells(queries, index, K.DEFAULT_ENCODER, 3)
     recall = R.recall_at_k(found, R.knn_exact(queries, corpus, 3))
     return recall.select((F.col("recall") >= 0.95).alias("reached"),
                          F.lit(queries.count()).alias("n_queries"))
 
 
+@query("r1_j4_knn_pruned", _HITS3, (V.CORPUS_SQL, hits_cte("hits", 3)))
+def r1_pruned(spark, sf_dir):
+    """The exact top 3 from stored cells, of which only those that can matter are visited."""
+    corpus = V.corpus(spark, sf_dir)
+    index = C.build_index(corpus, K.DEFAULT_ENCODER, k=3, rows_per_cell=10)
+    return _hits(P.knn_pruned(_queries(spark, sf_dir), index, K.DEFAULT_ENCODER, 3))
+
+
+@query("r3_s4_knn_quantised", "SELECT TRUE AS many_cells, TRUE AS under_half, TRUE AS reached, "
+       "count(*) AS n_queries, 3 * count(*) AS n_hits FROM corpus", (V.CORPUS_SQL,))
+def r3_quantised(spark, sf_dir):
+    """Whether the stored, quantised index has 50 cells or more, probes less than half of them and
+    still finds 90 % of the true top 3 of every corpus row."""
+    corpus, path = V.corpus(spark, sf_dir), scratch_path(spark, "quantised")
+    Q.build_quantised(corpus, K.DEFAULT_ENCODER, path, k=3)
+    index, queries = Q.load_quantised(spark, path), _queries(spark, sf_dir)
+    found = Q.knn_quantised(queries, index, K.DEFAULT_ENCODER, 3)
+    recall = R.recall_at_k(found, R.knn_exact(queries, corpus, 3))
+    return recall.select(
+        F.lit(len(index.quantiser.centres) >= 50).alias("many_cells"),
+        F.lit(index.probed_share < 0.5).alias("under_half"),
+        (F.col("recall") >= 0.9).alias("reached"), F.lit(queries.count()).alias("n_queries"),
+        F.lit(found.count()).alias("n_hits"))
+
+
+@query("d9_triage_stored_index", "SELECT TRUE AS agrees, count(*) AS n_rows FROM corpus",
+       (V.CORPUS_SQL,))
+def d9_stored(spark, sf_dir):
+    """Whether triage from the saved corpus and its stored index escalates as triage with the exact
+    search does, for 95 % of all messages or more."""
+    corpus_path, index_path = scratch_path(spark, "corpus"), scratch_path(spark, "index")
+    messages, corpus = V.messages(spark, sf_dir), V.corpus(spark, sf_dir)
+    io.save_corpus(corpus.drop("model_name"), corpus_path, "views")
+    index_corpus(spark, corpus_path, index_path)
+    decided = triage_stored(messages, corpus_path, index_path, "views", stored_answers(),
+                            min_similarity=0.25)
+    exact = triage(messages, corpus, stored_answers(), min_similarity=0.25).select(
+        F.col("pair_id").alias("exact_id"), F.col("escalate").alias("exact_escalate"))
+    # Messages without an id are decided too, but have no partner to compare with.
+    both = decided.join(exact, F.col("pair_id") == F.col("exact_id"), "left")
+    return both.agg((F.avg((F.col("escalate") == F.col("exact_escalate")).cast("int")) >= 0.95)
+                    .alias("agrees"), F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("r4_r5_retrieve_two_stage", "SELECT query_id, pair_id, similarity, round(rerank_score, 6) AS "
        "rerank_score, CAST(rank AS BIGINT) AS rank, customer_text, brand_reply FROM reranked",
        (*_CORPUS, *_RERANKED))

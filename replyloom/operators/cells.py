@@ -137,7 +137,13 @@ def knn_cells(queries: DataFrame, index: CellIndex, encoder: str, k: int = K.TOP
         return _ranked(spark.createDataFrame([], HITS), k)
     near = _with_cells(_query_side(queries), index.centres, probes or index.probes, "cells")
     left = near.select("query_id", "exclude_id", "embedding", F.explode("cells").alias("cell"))
-    stored = index.corpus(spark)
+    return _ranked(visit(left, index, k, block_rows), k)
+
+
+def visit(visits: DataFrame, index: CellIndex, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The best rows that each query finds in the cells it visits: ``query_id, exclude_id,
+    embedding, cell``. Both sides of a large cell are dealt to blocks of bounded size."""
+    stored = index.corpus(visits.sparkSession)
     right = stored.select(F.col("pair_id").cast("string"), "embedding", "cell")
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
@@ -145,11 +151,11 @@ def knn_cells(queries: DataFrame, index: CellIndex, encoder: str, k: int = K.TOP
             F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
 
     # One row per cell, at most one for eight sample rows.
-    split = F.broadcast(blocks(left, "n_q").join(blocks(right, "n_c"), "cell"))
-    left = left.join(split, "cell").select(
+    split = F.broadcast(blocks(visits, "n_q").join(blocks(right, "n_c"), "cell"))
+    left = visits.join(split, "cell").select(
         "query_id", "exclude_id", "embedding", "cell",
         F.pmod(F.xxhash64("query_id"), F.col("n_q")).alias("qb"), _each_block(F.col("n_c")).alias("cb"))
     right = right.join(split, "cell").select(
         "pair_id", "embedding", "cell",
         F.pmod(F.xxhash64("pair_id"), F.col("n_c")).alias("cb"), _each_block(F.col("n_q")).alias("qb"))
-    return _ranked(_meet(left, right, ["cell", "qb", "cb"], k), k)
+    return _meet(left, right, ["cell", "qb", "cb"], k)

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from replyloom import constants as K
 from replyloom.functions.rules import decide_escalation, never_draft, never_draft_reasons
 from replyloom.operators.classify import classify, resolve_answers
 from replyloom.operators.keys import lookup_join, unprocessed
+from replyloom.operators.quantised import build_quantised, load_quantised, stored_search
 from replyloom.operators.retrieve import grounding, knn_exact, retrieve
 from replyloom.operators.scoring import Loader, draft_reply
 from replyloom.schemas import PREDICTIONS
 from replyloom.session import materialise
-from replyloom.sources.io import read_store
+from replyloom.sources.io import load_corpus, read_store
 
 Classifier = Callable[[DataFrame], DataFrame]
 
@@ -86,6 +87,27 @@ def triage(
                     .otherwise(F.col("__v.escalation_reasons"))))
 
 
+def index_corpus(spark: SparkSession, corpus_path: str, index_path: str, **options) -> None:
+    """Store the search index of a saved corpus. All its vectors have to come from one encoder."""
+    corpus = load_corpus(spark, corpus_path)
+    encoders = [r["model_name"] for r in corpus.select("model_name").distinct().limit(2).collect()]
+    if len(encoders) > 1:
+        raise ValueError(f"the corpus mixes vectors of {sorted(encoders)}")
+    build_quantised(corpus, encoders[0] if encoders else K.DEFAULT_ENCODER, index_path, **options)
+
+
+def triage_stored(messages: DataFrame, corpus_path: str, index_path: str, encoder: str,
+                  classifier: Classifier, **options) -> DataFrame:
+    """:func:`triage` from a saved corpus and its stored index, which is searched instead of all
+    vectors. ``encoder`` names what made the messages' vectors; the index must have the same."""
+    spark = messages.sparkSession
+    index = load_quantised(spark, index_path)
+    if index.encoder != encoder:
+        raise ValueError(f"messages are encoded by {encoder!r}, the index by {index.encoder!r}")
+    return triage(messages, load_corpus(spark, corpus_path), classifier,
+                  search=stored_search(index, encoder), **options)
+
+
 def triage_batch(messages: DataFrame, corpus: DataFrame, classifier: Classifier, out: str, *,
                  fmt: str = "json", **options) -> None:
     """Decide the messages that ``out`` does not hold yet and append them. Running it again
