@@ -49,17 +49,18 @@ def resolve_answers(df: DataFrame, text: str, first_answer: str, second_answer:
 
 
 def ask_model(df: DataFrame, load: Loader, text: str, when: Column, *, second_look: bool = True,
-              taxonomy=K.TAXONOMY) -> DataFrame:
+              taxonomy=K.TAXONOMY, score=score_batches) -> DataFrame:
     """Add the columns first_answer and second_answer; only rows meeting ``when`` are asked,
-    and only those that then answer "other" are asked again. Both steps are narrow."""
+    and only those that then answer "other" are asked again. Both steps are narrow, unless
+    ``score`` is an answer book's, which keeps the answers and asks equal prompts once."""
     df = df.withColumn("prompt", classify_prompt(text, taxonomy=taxonomy))
-    df = score_batches(df, load, ["prompt"], ANSWER, when)
+    df = score(df, load, ["prompt"], ANSWER, when)
     df = df.withColumnRenamed("answer", "first_answer")
     if second_look:
         again = F.when(F.col("first_answer").isNotNull(),
                        parse_intent_json("first_answer")["intent"] == K.OTHER)
         df = df.withColumn("prompt", second_look_prompt("prompt", "first_answer", taxonomy))
-        df = score_batches(df, load, ["prompt"], ANSWER, again)
+        df = score(df, load, ["prompt"], ANSWER, again)
         df = df.withColumnRenamed("answer", "second_answer")
     else:
         df = df.withColumn("second_answer", F.lit(None).cast("string"))
@@ -67,10 +68,10 @@ def ask_model(df: DataFrame, load: Loader, text: str, when: Column, *, second_lo
 
 
 def classify(df: DataFrame, load: Loader, text: str = "customer_text", *,
-             second_look: bool = True, taxonomy=K.TAXONOMY) -> DataFrame:
+             second_look: bool = True, taxonomy=K.TAXONOMY, score=score_batches) -> DataFrame:
     """Intent of every row; rows caught by the emergency rule never reach the model."""
     asked = ask_model(df, load, text, ~safety_match(text), second_look=second_look,
-                      taxonomy=taxonomy)
+                      taxonomy=taxonomy, score=score)
     return resolve_answers(asked, text, "first_answer", "second_answer",
                            taxonomy).drop("first_answer", "second_answer")
 
@@ -94,10 +95,10 @@ def cascade_answers(df: DataFrame, text: str, first_answer: str, second_answer:
 
 
 def cascade(df: DataFrame, load: Loader, text: str = "customer_text", *, lexicon=K.LEXICON,
-            taxonomy=K.TAXONOMY) -> DataFrame:
+            taxonomy=K.TAXONOMY, score=score_batches) -> DataFrame:
     """Keyword rules first; the model sees only what they leave at "other"."""
     ask = (keyword_intent(text, lexicon) == K.OTHER) & ~safety_match(text)
-    asked = ask_model(df, load, text, ask, taxonomy=taxonomy)
+    asked = ask_model(df, load, text, ask, taxonomy=taxonomy, score=score)
     return cascade_answers(asked, text, "first_answer", "second_answer", lexicon,
                            taxonomy).drop("first_answer", "second_answer")
 

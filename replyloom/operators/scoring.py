@@ -91,7 +91,7 @@ def drafted_only(df: DataFrame, reply: str = "reply") -> DataFrame:
 
 
 def draft_reply(retrieved: DataFrame, load: Loader | None = None, message: str = "message",
-                method: str = K.METHOD_TWO_STAGE) -> DataFrame:
+                method: str = K.METHOD_TWO_STAGE, score=score_batches) -> DataFrame:
     """Add reply, grounded_on, top_similarity and ranking_method to one row per message.
 
     ``retrieved`` comes from :func:`replyloom.operators.retrieve.grounding`. Without a model the
@@ -109,7 +109,7 @@ def draft_reply(retrieved: DataFrame, load: Loader | None = None, message: str =
         return out.withColumn("reply", F.get(cases, F.lit(0))["brand_reply"]).drop("cases")
     lines = F.array_join(F.transform(cases, lambda c: c["line"]), "\n")
     out = out.withColumn("prompt", reply_prompt(message, lines)).drop("cases")
-    out = score_batches(out, load, ["prompt"], ANSWER)
+    out = score(out, load, ["prompt"], ANSWER)
     return out.withColumn("reply", strip("answer")).drop("prompt", "answer")
 
 
@@ -118,8 +118,8 @@ def _case_type(df: DataFrame) -> T.DataType:
 
 
 def judge_replies(df: DataFrame, load: Loader, message: str = "customer_text",
-                  reply: str = "reply") -> DataFrame:
+                  reply: str = "reply", score=score_batches) -> DataFrame:
     """Ask a judging model about every drafted reply and add its scores as ``judge``."""
     asked = drafted_only(df, reply).withColumn("prompt", judge_prompt(message, reply))
-    scored = score_batches(asked, load, ["prompt"], ANSWER)
+    scored = score(asked, load, ["prompt"], ANSWER)
     return scored.withColumn("judge", parse_judge_json("answer")).drop("prompt", "answer")

@@ -12,10 +12,11 @@ from replyloom.operators.classify import classify, resolve_answers
 from replyloom.operators.keys import lookup_join, unprocessed
 from replyloom.operators.quantised import build_quantised, load_quantised, stored_search
 from replyloom.operators.retrieve import grounding, knn_exact, retrieve
-from replyloom.operators.scoring import Loader, draft_reply
+from replyloom.operators.scoring import Loader, draft_reply, score_batches
 from replyloom.schemas import PREDICTIONS
 from replyloom.session import materialise
 from replyloom.sources.io import load_corpus, read_store
+from replyloom.sources.ledger import Ledger
 
 Classifier = Callable[[DataFrame], DataFrame]
 
@@ -46,7 +47,8 @@ def prediction_projection(df: DataFrame) -> DataFrame:
 def triage(
     messages: DataFrame, corpus: DataFrame, classifier: Classifier, *,
     mode: str = K.METHOD_TWO_STAGE, k: int = K.TOP_K, first_stage: int = K.FIRST_STAGE_K,
-    exclude_self: bool = True, drafter: Loader | None = None, search=knn_exact,
+    exclude_self: bool = True, drafter: Loader | None = None, draft_score=score_batches,
+    search=knn_exact,
     min_confidence: float = K.MIN_CONFIDENCE, min_similarity: float = K.MIN_SIMILARITY,
     high_risk=K.HIGH_RISK_INTENTS, no_draft=K.NEVER_DRAFT_INTENTS, **search_options,
 ) -> DataFrame:
@@ -67,7 +69,7 @@ def triage(
     cases = retrieve(queries, corpus, mode, k=k, first_stage=first_stage, search=search,
                      **search_options)
     found = queries.select("query_id", "message").join(grounding(cases), "query_id", "left")
-    drafts = draft_reply(found, drafter, "message", mode).drop("message").withColumnRenamed(
+    drafts = draft_reply(found, drafter, "message", mode, draft_score).drop("message").withColumnRenamed(
         "query_id", "draft_of")
     rows = lookup_join(done.drop("embedding"), drafts, "query_id", "draft_of", "left")
     verdict = decide_escalation("intent", "intent_confidence", "top_similarity",
@@ -118,3 +120,13 @@ def triage_batch(messages: DataFrame, corpus: DataFrame, classifier: Classifier,
     if fmt == "json":
         writer = writer.option("ignoreNullFields", False)
     writer.format(fmt).save(out)
+
+
+def triage_ledger(messages: DataFrame, corpus: DataFrame, classifier: Classifier, store: Ledger,
+                  **options) -> int:
+    """Decide the messages that the store does not hold yet and commit them as one run.
+
+    Returns how many decisions were added. Stored decisions are neither read nor shuffled, only
+    their keys, in their buckets; two runs at a time store a message once.
+    """
+    return store.append(triage(store.missing(messages), corpus, classifier, **options))
