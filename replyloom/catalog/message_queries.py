@@ -9,9 +9,11 @@ from replyloom.catalog import views as V
 from replyloom.catalog.registry import query
 from replyloom.functions import answers as A, prompts as P, rules as R, text as X
 from replyloom.operators import classify as C, pairs, sampling, scoring
+from replyloom.operators.answers import AnswerBook
 from replyloom.operators.keys import first_by_key, join_gold_pred, unprocessed
 from replyloom.session import scratch_path
 from replyloom.sources import io
+from replyloom.sources.ledger import Ledger
 
 # --- SQL fragments -------------------------------------------------------------------------
 
@@ -512,7 +514,7 @@ def fill_sql(template: str, **values: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
-_EXAMPLES = "\n".join(f'- "{t}" -> {l}' for t, l in P.LABELLED_EXAMPLES)
+_EXAMPLES = "\n".join(l + ": " + t for t, l in P.LABELLED_EXAMPLES)
 
 
 def classify_prompt_sql(message: str) -> str:
@@ -619,6 +621,38 @@ def d5_model(spark, sf_dir):
                       F.coalesce(F.col("source") == K.SOURCE_SAFETY, F.lit(False)).alias("by_rule"))
 
 
+_LEDGER_KEYS = ("SELECT pair_id FROM pairs UNION SELECT pair_id FROM corpus WHERE vec_id % 37 <> 0")
+
+
+@query("s5_j3_append_ledger", f"SELECT pair_id, CAST(1 AS BIGINT) AS n_stored FROM ({_LEDGER_KEYS}) UNION ALL "
+       "SELECT NULL, 2 * count(*) FROM corpus WHERE vec_id % 37 = 0 HAVING count(*) > 0",
+       (*_PAIRED, V.CORPUS_SQL))
+def s5_ledger(spark, sf_dir):
+    """Overlapping runs into a ledger, with one between them that never commits."""
+    paired = _pairs(spark, sf_dir).select("pair_id")
+    other = V.messages(spark, sf_dir).select("pair_id")
+    store = Ledger(spark, scratch_path(spark, "ledger"), schemas.struct(pair_id=schemas._STR))
+    store.append(paired)
+    store._write(other)
+    store.append(other)
+    store.append(paired.unionByName(other))
+    return store.rows().groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_stored"))
+
+
+@query("c1_answer_ledger", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN "
+       "CAST(length(text) AS VARCHAR) || ' letters' END AS answer, "
+       "(SELECT count(DISTINCT text) FROM conversations WHERE role = 'user') AS n_asked FROM conversations")
+def c1_ledger(spark, sf_dir):
+    """User turns answered through an answer book, which is asked again for all turns."""
+    rows = V.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", F.col("text").alias("prompt"))
+    book = AnswerBook(spark, scratch_path(spark, "answers"))
+    load, user = scoring.text_model(lambda prompt: f"{len(prompt)} letters"), F.col("role") == "user"
+    book.score(rows, "letters", load, user)
+    again = book.score(rows, "letters", load, user)
+    return again.select("conv_id", "turn", "answer", F.lit(book.answers().count()).alias("n_asked"))
+
+
 @query("c1_score_batches", "SELECT doc_id, CASE WHEN lang = 'en' THEN length(text) END AS n_seen FROM documents")
 def c1(spark, sf_dir):
     import pandas as pd

@@ -14,7 +14,7 @@ from replyloom.operators.scoring import draft_reply
 from replyloom.plans.triage import (index_corpus, stored_answers, triage, triage_batch,
                                     triage_stored)
 from replyloom.schemas import PREDICTIONS
-from replyloom.session import scratch_path
+from replyloom.session import materialise, scratch_path
 from replyloom.sources import io
 from replyloom.streaming.triage_stream import triage_stream
 
@@ -45,8 +45,8 @@ _RERANKED = (
           AS rerank_score
         FROM hits20 h JOIN corpus c ON h.pair_id = c.pair_id JOIN corpus q ON h.query_id = q.pair_id)
       QUALIFY rank <= 3)""",
-    """grounded AS (SELECT query_id, string_agg('- Customer: "' || customer_text || '" -> Brand: "' ||
-        brand_reply || '"', chr(10) ORDER BY rank) AS examples,
+    """grounded AS (SELECT query_id, string_agg('Asked: ' || customer_text || ' / Answered: ' ||
+        brand_reply, chr(10) ORDER BY rank) AS examples,
       string_agg(pair_id, '|' ORDER BY rank) AS grounded_on,
       max(CASE WHEN rank = 1 THEN similarity END) AS top_similarity,
       max(CASE WHEN rank = 1 THEN brand_reply END) AS reply FROM reranked GROUP BY query_id)""",
@@ -227,6 +227,26 @@ def c5(spark, sf_dir):
     return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("c5_kmeans_facts", "SELECT count(*) AS n_rows, count(*) AS n_nearest, TRUE AS least_cost, TRUE AS settled "
+       "FROM corpus", (V.CORPUS_SQL,))
+def c5_facts(spark, sf_dir):
+    """Rows whose stored centre is the nearest of all, checked by SQL functions on the stored
+    clusters and centres; whether the kept start costs least of ten, and is where centres rest."""
+    out, fit = features.kmeans_cluster(V.corpus(spark, sf_dir).select("pair_id", "embedding"), 10)
+    rows = materialise(out)
+    far = F.array(*[F.aggregate(
+        F.zip_with("embedding", F.array(*[F.lit(x) for x in centre]),
+                   lambda x, y: F.pow(x.cast("double") - y, 2)), F.lit(0.0), lambda a, x: a + x)
+        for centre in fit.centres.tolist()])
+    best = rows.withColumn("far", far).select(
+        F.array_min("far").alias("least"), F.get("far", "cluster").alias("own"))
+    own = F.col("own") <= F.col("least") + 1e-9
+    return best.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(own).alias("n_nearest"),
+        (F.abs(F.sum("own") - min(fit.costs)) < 1e-6 * F.sum("own")).alias("least_cost"),
+        F.lit(len(fit.costs) == 10 and fit.settled).alias("settled"))
+
+
 # --- triage ----------------------------------------------------------------------------------------------
 
 _LOW_FLOOR = 0.25     # the given vectors are far apart; the default floor escalates every row

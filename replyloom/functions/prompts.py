@@ -39,13 +39,14 @@ JUDGE_TEMPLATE = (
 )
 
 LABELLED_EXAMPLES = (
-    ("the reset email for my password never comes", "account_access"),
-    ("why is there a second payment on my card for one trip", "billing_refund"),
-    ("my parcel has been in transit for nine days", "order_delivery"),
-    ("nothing loads since this morning, are you offline?", "service_outage"),
-    ("the car was hit from behind and I am hurt", "safety_incident"),
-    ("which documents do I need to sign up?", "general_inquiry"),
-    ("third complaint and still no answer, shameful", "complaint_escalation"),
+    ("smoke came out of the charger and it burned my hand", "safety_incident"),
+    ("well done to the team at the desk, lovely people", "feedback_praise"),
+    ("can I export last year's invoices as one file?", "general_inquiry"),
+    ("the zip of the jacket tore on its second day", "product_defect"),
+    ("the app calls my PIN wrong though I never changed it", "account_access"),
+    ("the flowers were left two streets from our house", "order_delivery"),
+    ("four broken promises of a call back, put your boss on", "complaint_escalation"),
+    ("you took the yearly fee in March and again in April", "billing_refund"),
 )
 
 
@@ -66,10 +67,18 @@ def fill(template: str, **values: Column | str) -> Column:
     return F.concat(*parts)
 
 
+#: What stands before the customer's text and between it and the brand's reply.
+CASE_LAYOUT = ("Asked: ", " / Answered: ")
+
+
 def example_line(customer_text: Column | str, brand_reply: Column | str) -> Column:
     """One retrieved case as one line."""
-    return F.concat(F.lit('- Customer: "'), F.coalesce(_col(customer_text), F.lit("")),
-                    F.lit('" -> Brand: "'), F.coalesce(_col(brand_reply), F.lit("")), F.lit('"'))
+    return F.concat(F.lit(CASE_LAYOUT[0]), F.coalesce(_col(customer_text), F.lit("")),
+                    F.lit(CASE_LAYOUT[1]), F.coalesce(_col(brand_reply), F.lit("")))
+
+
+def labelled_lines(examples: Sequence[tuple[str, str]]) -> str:
+    return "\n".join(f"{label}: {text}" for text, label in examples)
 
 
 def examples_block(ranked_lines: Column) -> Column:
@@ -79,8 +88,8 @@ def examples_block(ranked_lines: Column) -> Column:
 
 def classify_prompt(message: Column | str, examples: Sequence[tuple[str, str]] = LABELLED_EXAMPLES,
                     taxonomy: Sequence[str] = TAXONOMY, template: str = CLASSIFY_TEMPLATE) -> Column:
-    lines = "\n".join(f'- "{text}" -> {label}' for text, label in examples)
-    return fill(template, labels=F.lit(", ".join(taxonomy)), examples=F.lit(lines), message=message)
+    return fill(template, labels=F.lit(", ".join(taxonomy)),
+                examples=F.lit(labelled_lines(examples)), message=message)
 
 
 def second_look_prompt(first_prompt: Column | str, first_answer: Column | str,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import executed_plan
 from replyloom.operators import retrieve as R
 from replyloom.operators.scoring import draft_reply, text_model
+from replyloom.session import materialise
 
 CORPUS = "pair_id string, customer_text string, brand_reply string, embedding array<float>"
 
@@ -125,7 +126,7 @@ def test_draft_takes_the_reranked_first_case(spark):
     assert row["reply"] == "rc" and row["grounded_on"] == ["c", "a", "b"]
     assert row["top_similarity"] == 0.7
     with_model = draft_reply(grounded.withColumn("message", F.lit("hello")),
-                             text_model(lambda p: f"  {p.count('- Customer:')} cases for hello: {'hello' in p} "))
+                             text_model(lambda p: f"  {p.count('Asked: ')} cases for hello: {'hello' in p} "))
     assert with_model.first()["reply"] == "3 cases for hello: True"
 
 
@@ -172,8 +173,8 @@ def test_hashing_keeps_its_recall_as_buckets_multiply(spark):
     queries = corpus.where("pair_id < 'p00300'").selectExpr(
         "pair_id AS query_id", "pair_id AS exclude_id", "embedding")
     # Six bits by the size of the corpus; its own buckets alone find far less.
-    exact = R.knn_exact(queries, corpus, 3).localCheckpoint()
-    found = R.knn_lsh(queries, corpus, 3, complete=False).localCheckpoint()
+    exact = materialise(R.knn_exact(queries, corpus, 3))
+    found = materialise(R.knn_lsh(queries, corpus, 3, complete=False))
     recall = R.recall_at_k(found, exact).first()["recall"]
     print("recall", recall)
     assert recall > 0.9

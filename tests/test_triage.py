@@ -82,7 +82,7 @@ def test_models_classify_and_draft(inputs, spark):
     classifier = model_classifier(
         text_model(lambda p: '{"intent": "general_inquiry", "confidence": 0.9, "rationale": "r"}'))
     out = triage(messages.select("pair_id", "customer_text", "embedding"), corpus, classifier,
-                 drafter=text_model(lambda p: f"draft from {p.count('-> Brand:')} cases"), min_similarity=0.0)
+                 drafter=text_model(lambda p: f"draft from {p.count(' / Answered: ')} cases"), min_similarity=0.0)
     kept = out.where("intent = 'general_inquiry'")
     assert kept.select("reply").distinct().collect()[0][0] == "draft from 3 cases"
     assert kept.where("escalate").isEmpty()
