@@ -1,24 +1,25 @@
-"""Text features and models from MLlib: TF-IDF, logistic regression, encoder, k-means."""
+"""Text features and models: TF-IDF, logistic regression, encoder, k-means of several starts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, HashingTF, IDF,
                                 IDFModel, Normalizer)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from replyloom import constants as K
 from replyloom.functions.text import _col
 from replyloom.operators.scoring import Loader, score_batches
 from replyloom.schemas import struct
-from replyloom.session import materialise
+from replyloom.session import materialise, ship_package
 
 _TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -196,15 +197,117 @@ def encoder(encode: Callable[[list[str]], list], text: str = "customer_text") ->
     return load
 
 
+@dataclass(frozen=True)
+class Clustering:
+    """The best start's centres, the cost of every start, and whether its centres had come to rest."""
+
+    centres: np.ndarray
+    costs: tuple[float, ...]
+    settled: bool
+
+
+def _seeded(vectors: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ centres among the sampled vectors."""
+    centres = [vectors[rng.integers(len(vectors))]]
+    far = ((vectors - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k:
+        total = far.sum()
+        at = rng.choice(len(vectors), p=far / total) if total else rng.integers(len(vectors))
+        centres.append(vectors[at])
+        far = np.minimum(far, ((vectors - vectors[at]) ** 2).sum(axis=1))
+    return np.array(centres)
+
+
+def _nearest_centres(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre of every row, the smaller of equal ones, and squared distance."""
+    far = ((centres * centres).sum(axis=1) - 2 * vectors @ centres.T)
+    near = np.argmin(far, axis=1)
+    left = vectors - centres[near]
+    return near, (left * left).sum(axis=1)
+
+
+def _centre_sums(batches: Iterator[pa.RecordBatch],
+                 centres: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of every cluster of every start, one row per cluster and dimension; the
+    last two places are the rows' number and cost."""
+    sums = {s: np.zeros((len(c), c.shape[1] + 2)) for s, c in centres.items()}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        vectors = vector_matrix(batch.column(0))
+        for start, own in centres.items():
+            near, cost = _nearest_centres(vectors, own)
+            np.add.at(sums[start], near, np.column_stack([vectors, np.ones(len(near)), cost]))
+    for start, table in sums.items():
+        cluster, place = np.indices(table.shape)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(table.size, start, np.int32)), pa.array(cluster.ravel().astype(np.int32)),
+             pa.array(place.ravel().astype(np.int32)), pa.array(table.ravel())],
+            names=["start", "cluster", "place", "value"])
+
+
 def kmeans_cluster(df: DataFrame, k: int, vector: str = "embedding", name: str = "cluster",
-                   starts: int = 10, seed: int = 42) -> tuple[DataFrame, KMeansModel]:
-    """Cluster number per row from the best of ``starts`` seeded runs (lowest training cost)."""
-    rows = df.withColumn("__features", array_to_vector(F.col(vector)))
-    training = rows.select("__features").persist()
-    try:
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="__features", predictionCol=name,
-                       initMode="k-means||").fit(training) for i in range(starts)]
-    finally:
-        training.unpersist()
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("__features"), best
+                   starts: int = 10, seed: int = 42, rounds: int = 50,
+                   sample_rows: int = 20_000) -> tuple[DataFrame, Clustering]:
+    """Cluster number per row from the best of ``starts`` seeded runs (lowest cost).
+
+    All starts advance together: one pass over the rows and one aggregate a round move the centres
+    of every start that has not come to rest. Seeds are k-means++ centres of a sample of
+    ``sample_rows`` rows; what reaches the driver each round is one number per start, cluster and
+    dimension. A cluster that loses its rows keeps its centre. Rows without a vector get no cluster.
+    """
+    ship_package(df.sparkSession)
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    sample = rows.select("v", F.xxhash64("v", F.lit(seed)).alias("h")).orderBy("h").limit(
+        sample_rows).toPandas()
+    if not len(sample):
+        return (df.withColumn(name, F.lit(None).cast("int")),
+                Clustering(np.zeros((0, 0)), (0.0,) * starts, True))
+    vectors = np.array(sample["v"].tolist())
+    rng = np.random.default_rng(seed)
+    centres = {s: _seeded(vectors, k, rng) for s in range(starts)}
+    moving, costs = set(centres), {}
+    for turn in range(rounds + 1):
+        asked = {s: centres[s] for s in moving}
+        found = rows.mapInArrow(
+            lambda it, asked=asked: _centre_sums(it, asked),
+            "start int, cluster int, place int, value double"
+        ).groupBy("start", "cluster", "place").agg(F.sum("value").alias("value")).toPandas()
+        for s in list(moving):
+            mine = found[found["start"] == s]
+            table = np.zeros((k, vectors.shape[1] + 2))
+            table[mine["cluster"], mine["place"]] = mine["value"]
+            costs[s] = float(table[:, -1].sum())
+            counts = table[:, -2:-1]
+            new = np.where(counts > 0, table[:, :-2] / np.maximum(counts, 1), centres[s])
+            if np.abs(new - centres[s]).max() < 1e-9:
+                moving.discard(s)
+            elif turn < rounds:  # costs stay those of the centres that are kept
+                centres[s] = new
+        if not moving:
+            break
+    best = min(costs, key=lambda s: (costs[s], s))
+    fit = Clustering(centres[best], tuple(costs[s] for s in range(starts)), best not in moving)
+    return _placed(df, vector, name, fit.centres), fit
+
+
+def _placed(df: DataFrame, vector: str, name: str, centres: np.ndarray) -> DataFrame:
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(vector))
+            known = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            near = np.zeros(batch.num_rows, np.int32)
+            if len(known):
+                near[known] = _nearest_centres(vector_matrix(column.take(pa.array(known))), centres)[0]
+            mask = np.ones(batch.num_rows, bool)
+            mask[known] = False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, mask=mask)], [*names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())]))
+
+
+def vector_matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one list column, all of one length, as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,11 +175,38 @@ def test_own_encoder_vectors_are_normalised(spark):
 def test_kmeans_keeps_the_best_start(spark):
     df = spark.createDataFrame([(i, [float(i // 10), float(i // 10)]) for i in range(30)],
                                "i int, embedding array<float>")
-    out, model = T.kmeans_cluster(df, 3, starts=4)
-    assert model.summary.trainingCost == pytest.approx(0.0)
+    out, fit = T.kmeans_cluster(df, 3, starts=4)
+    assert min(fit.costs) == pytest.approx(0.0) and len(fit.costs) == 4 and fit.settled
     assert out.groupBy("cluster").count().where("count = 10").count() == 3
 
 
+def test_kmeans_against_plain_rounds_from_the_same_seeds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 5)) + 3 * rng.integers(0, 4, (200, 1))
+    df = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)] + [(999, None)],
+                               "i int, embedding array<double>").repartition(3)
+    seeds = [x[rng.choice(200, 4, replace=False)] for _ in range(3)]
+    given = iter(seeds)
+    monkeypatch.setattr(T, "_seeded", lambda *_: next(given))
+    out, fit = T.kmeans_cluster(df, 4, starts=3)
+
+    def plain(centres):
+        for _ in range(50):
+            near = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.array([x[near == c].mean(axis=0) if (near == c).any() else centres[c]
+                                for c in range(4)])
+        return centres, ((x - centres[near]) ** 2).sum(), near
+
+    want = [plain(s.copy()) for s in seeds]
+    assert fit.costs == pytest.approx([cost for _, cost, _ in want])
+    centres, _, near = min(want, key=lambda w: w[1])
+    assert np.abs(fit.centres - centres).max() < 1e-9
+    got = {r["i"]: r["cluster"] for r in out.collect()}
+    assert got.pop(999) is None and got == dict(enumerate(near))
+    nothing, empty = T.kmeans_cluster(df.limit(0), 4)
+    assert nothing.count() == 0 and empty.centres.size == 0
+
+
 def test_workers_need_no_installed_package(tmp_path):
     """A driver started elsewhere, with the package only on its own path."""
     root = Path(__file__).resolve().parents[1]
