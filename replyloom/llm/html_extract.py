@@ -17,6 +17,7 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -199,15 +200,15 @@ def node_features(page: Page, blocks: list[tuple[int, str]]) -> np.ndarray:
         for j, i in enumerate(k):
             place[i] = j
     log = math.log1p
+    kinds = [Counter(page.tag[i] for i in k) for k in kids]
     for i in range(n):
         tag, p = page.tag[i], page.parent[i]
         outside, inside = tag in OUTSIDE, tag in INSIDE
         away, towards = len(page.tokens[i] & AWAY), len(page.tokens[i] & TOWARDS)
         up = above[p] if p >= 0 else (0, 0, 0)
         above[i] = (up[0] or outside, up[1] or inside, up[2] + away)
-        family = kids[p] if p >= 0 else [i]
-        size = len(family)
-        same = sum(page.tag[s] == tag for s in family) if size <= 64 else size
+        size = len(kids[p]) if p >= 0 else 1
+        same = kinds[p][tag] if p >= 0 else 1
         rows.append((
             outside, up[0], inside, up[1], away, up[2], towards, tag in HEADINGS, tag == "p",
             tag == "li", tag in ("td", "th"), tag in ("div", "section"), page.depth[i],
@@ -289,18 +290,18 @@ def extract(sources: list[str], trees: BoostedTrees) -> list[str]:
 
 
 def train_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                    max_pages: int = TRAIN_PAGES) -> BoostedTrees:
-    """Fit the trees on at most ``max_pages`` pages; without pages they drop nothing."""
+                    max_pages: int = TRAIN_PAGES, max_bytes: int = TRAIN_BYTES) -> BoostedTrees:
+    """Fit the trees on at most ``max_pages`` pages, chosen among those of ``max_bytes`` or less;
+    without such pages they drop nothing."""
     ship_package(pages.sparkSession)
-    chosen = (pages.select(id_col).filter(F.col(id_col).isNotNull())
+    small = pages.filter(F.coalesce(F.octet_length(html_col), F.lit(0)) <= max_bytes)
+    chosen = (small.select(id_col).filter(F.col(id_col).isNotNull())
               .orderBy(F.xxhash64(id_col), id_col).limit(max_pages))
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_slices(batches, "html"):
             ids = part.column(part.schema.get_field_index("id")).to_pylist()
             for own, text in zip(ids, texts):
-                if len(text) > TRAIN_BYTES:
-                    continue
                 source = text.decode("utf-8", "replace")
                 page = Page(source)
                 planted = Page(with_planted_block(source, page, zlib.crc32(text)))
@@ -313,7 +314,7 @@ def train_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "
                     "y": pa.array([y.tolist()], pa.list_(pa.int8()))})
 
     # At most max_pages ids; a page repeated under one id is trained on once.
-    sample = (pages.select(F.col(id_col), F.col(html_col).alias("html"))
+    sample = (small.select(F.col(id_col), F.col(html_col).alias("html"))
               .join(F.broadcast(chosen.distinct()), id_col)
               .select(F.col(id_col).cast("long").alias("id"), "html")
               .mapInArrow(measured, "id long, x array<float>, y array<byte>")

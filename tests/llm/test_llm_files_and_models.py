@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import math
 import random
 import zlib
@@ -16,7 +17,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from replyloom.llm import toxicity, url_model
+from replyloom.llm import html_extract, toxicity, url_model
 from replyloom.llm.common import Scratch
 from replyloom.llm.boosting import fit_trees
 from replyloom.llm.elias_fano import EliasFano, encode
@@ -245,6 +246,36 @@ def test_decoding_never_contradicts():
         assert total >= abs(np.sum(gain[1:])) - 1e-9  # keeping or dropping all is never better
 
 
+def test_decoding_finds_the_best_choice():
+    rng = np.random.default_rng(6)
+    page = Page("<div><p>a</p><section><p>b</p><p>c</p></section></div><div><p>d</p></div>")
+    n = len(page.tag)
+    allowed = [s for s in itertools.product((False, True), repeat=n - 1)
+               if all(page.parent[i] == 0 or s[page.parent[i] - 1] for i in range(1, n) if s[i - 1])]
+    for _ in range(30):
+        gain = rng.normal(size=n)
+        stays = decode(page, gain)
+        best = max(sum(g if s else -g for g, s in zip(gain[1:], choice)) for choice in allowed)
+        assert sum(g if s else -g for g, s in zip(gain[1:], stays[1:])) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("n", [3, 64, 65, 500])
+def test_sibling_share_is_counted_however_many_there_are(n):
+    page = Page("<section>" + "<p>a</p>" * n + "<aside>b</aside></section>")
+    at = html_extract.FEATURES.index("same_siblings")
+    rows = html_extract.node_features(page, page.blocks())
+    for tag, share in (("p", n / (n + 1)), ("aside", 1 / (n + 1))):
+        own = [rows[i][at] for i in range(len(page.tag)) if page.tag[i] == tag]
+        assert own == pytest.approx([share] * len(own))
+
+
+def test_training_pages_are_chosen_among_those_small_enough(spark):
+    long = "<html><body><article>" + "<p>x</p>" * 3000 + "</article></body></html>"
+    pages = spark.createDataFrame([(i, long) for i in range(30)] + [(99, ARTICLE)], "page_id long, html string")
+    trees = train_extractor(pages, max_pages=1, max_bytes=5000)
+    assert "Link 1" not in extract([ARTICLE], trees)[0] and "Sentence number 5" in extract([ARTICLE], trees)[0]
+
+
 def test_extraction_learns_from_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     trees = train_extractor(pages)
