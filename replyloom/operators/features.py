@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from replyloom import constants as K
 from replyloom.functions.text import _col
@@ -72,24 +73,38 @@ def vocabulary(df: DataFrame, text: str = "text", size: int = K.TFIDF_VOCABULARY
 def tfidf(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
           size: int = K.TFIDF_VOCABULARY, sizes: Sequence[int] = (1, 2),
           vocab: DataFrame | None = None) -> DataFrame:
-    """Unit-length TF-IDF rows in long form: (doc_id, term, weight).
+    """Unit-length TF-IDF rows in long form: (doc_id, term, weight), one set for each row of ``df``.
 
-    Whole texts are distributed by document once; counting terms and the norm of a document then
-    need no further shuffle. The vocabulary has at most ``size`` rows and is broadcast.
-    ``doc_id`` must be unique.
+    A document is one row, so its terms are counted and its norm taken inside the row and nothing
+    is shuffled. The vocabulary has at most ``size`` rows and travels to the tasks.
     """
     if vocab is None:
         vocab = materialise(vocabulary(df, text, size, sizes))
-    docs = _with_terms(df.select(doc_id, text).repartition(doc_id), text, sizes)
-    counted = (docs.select(doc_id, F.explode_outer("terms").alias("term"))
-               .join(F.broadcast(vocab.select("term", "idf")), "term")
-               .groupBy(doc_id, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-               .withColumn("w", F.col("tf") * F.col("idf")))
-    per_doc = counted.groupBy(doc_id).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.struct("term", "w")).alias("entries"))
-    return (per_doc.select(doc_id, "norm", F.inline("entries"))
-            .select(doc_id, "term", (F.col("w") / F.col("norm")).alias("weight")))
+    known = vocab.select("term", "idf").toArrow()
+    ship_package(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(
+        (known.column("term").combine_chunks(), known.column("idf").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            row = pc.list_parent_indices(lists).to_numpy()
+            place = pc.index_in(lists.flatten(), value_set=terms)
+            found = place.is_valid().to_numpy(zero_copy_only=False)
+            place = place.fill_null(0).to_numpy()[found].astype(np.int64)
+            pair, tf = np.unique(row[found] * len(terms) + place, return_counts=True)
+            if not len(pair):
+                continue
+            row, place = np.divmod(pair, len(terms))
+            w = tf * idf[place]
+            norm = np.sqrt(np.bincount(row, w * w, batch.num_rows))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), terms.take(pa.array(place)),
+                 pa.array(w / norm[row])], names=[doc_id, "term", "weight"])
+
+    return _with_terms(df.select(doc_id, text), text, sizes).select(doc_id, "terms").mapInArrow(
+        run, T.StructType([df.schema[doc_id], *struct(term=T.StringType(), weight=T.DoubleType()).fields]))
 
 
 @dataclass
