@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from replyloom import constants as K
 from replyloom.catalog import views as V
-from replyloom.catalog.message_queries import keyword_sql
-from replyloom.catalog.registry import query
+from replyloom.catalog.message_queries import judged_by_length, keyword_sql
+from replyloom.catalog.registry import ORACLES, query
 from replyloom.operators import evaluate as E, features
 from replyloom.operators.keys import join_gold_pred, last_by_key
 from replyloom.operators.scoring import drafted_only
@@ -218,6 +218,41 @@ _REPORT_SQL = " UNION ALL ".join((
 ))
 
 
+_GROUNDING = ("(SELECT count_if(drafted) AS n_drafted, avg(sim) AS mean_similarity, max(sim) AS max_similarity, "
+              "count_if(NOT drafted) AS n_zero_draft FROM (SELECT drafted, CASE WHEN drafted THEN "
+              "coalesce(top_similarity, 0.0) END AS sim FROM (SELECT *, coalesce(reply, '') <> '' AS drafted "
+              "FROM j)))")
+
+
+def _own(name: str, section: str, system: str, metrics: str) -> str:
+    """The figures of another query as a section."""
+    return _rows_sql(section, f"'{system}'", f"({ORACLES[name]})", {m: m for m in metrics.split()})
+
+
+_ALL_SECTIONS_SQL = " UNION ALL ".join((
+    _REPORT_SQL,
+    _rows_sql("grounding", "'your_system'", _GROUNDING, {
+        m: m for m in ("n_drafted", "mean_similarity", "max_similarity", "n_zero_draft")}),
+    _own("m4_escalation_agreement", "escalation_agreement", "your_system", "n_rows accuracy cohen_kappa"),
+    _own("m5_score_agreement", "judge_human_agreement", "judge", "n_rows exact_match_rate "
+         "within_one_point_rate cohen_kappa mean_judge mean_human"),
+    _own("m6_c7_judge_summary_model", "reply_quality_judge", "your_system",
+         "mean_overall_score n_scored n_unparseable"),
+))
+
+
+@query("s6_report_all_sections", _ALL_SECTIONS_SQL,
+       (*_JOINED, _SYSTEMS, *_labels_ctes("systems", "gold_intent", "predicted", "system, ")))
+def s6_all(spark, sf_dir):
+    """Every section of the report, the judge's and the reviews' among them, written and read back."""
+    path = scratch_path(spark, "report")
+    io.write_report(evaluation_report(
+        V.golden(spark, sf_dir), V.predictions(spark, sf_dir), order_by_gold=("seq",),
+        order_by_pred=V.PRED_ORDER, text_baseline=False, reviews=V.reviews(spark, sf_dir),
+        judged=judged_by_length(spark, sf_dir)), path)
+    return _report_rows(spark, path)
+
+
 @query("s6_write_report", _REPORT_SQL,
        (*_JOINED, _SYSTEMS, *_labels_ctes("systems", "gold_intent", "predicted", "system, ")))
 def s6(spark, sf_dir):
@@ -226,12 +261,16 @@ def s6(spark, sf_dir):
     io.write_report(evaluation_report(
         V.golden(spark, sf_dir), V.predictions(spark, sf_dir), order_by_gold=("seq",),
         order_by_pred=V.PRED_ORDER, text_baseline=False), path)
+    return _report_rows(spark, path).where(
+        F.col("section").isin("overlap", "intent_accuracy", "gold_escalation", "self_retrieval"))
+
+
+def _report_rows(spark, path: str) -> DataFrame:
     nested = "map<string,map<string,map<string,double>>>"
     return (spark.read.text(path)
             .select(F.explode(F.from_json("value", nested)).alias("section", "systems"))
             .select("section", F.explode("systems").alias("system", "metrics"))
             .select("section", "system", F.explode("metrics").alias("metric", "value"))
-            .where(F.col("section").isin("overlap", "intent_accuracy", "gold_escalation", "self_retrieval"))
             .withColumn("value", F.round("value", 6)))
 
 

@@ -678,10 +678,15 @@ FROM (SELECT CASE WHEN n % 7 = 0 THEN NULL ELSE n % 5 + 1 END AS score FROM (
 def m6_model(spark, sf_dir):
     from replyloom.operators.evaluate import judge_summary
 
+    return judge_summary(judged_by_length(spark, sf_dir))
+
+
+def judged_by_length(spark, sf_dir) -> DataFrame:
+    """Drafted replies judged by a model that scores the length of its prompt."""
     def answer(prompt: str) -> str:
         n = len(prompt)
         return "cannot say" if n % 7 == 0 else f'{{"overall": {n % 5 + 1}, "rationale": "by length"}}'
 
     joined = join_gold_pred(V.golden(spark, sf_dir), V.predictions(spark, sf_dir), ("seq",), V.PRED_ORDER)
-    return judge_summary(scoring.judge_replies(joined.select("pair_id", "customer_text", "reply"),
-                                               scoring.text_model(answer)))
+    return scoring.judge_replies(joined.select("pair_id", "customer_text", "reply"),
+                                 scoring.text_model(answer))
