@@ -173,7 +173,9 @@ def clean_documents(docs: DataFrame, text_col: str = "text", count_col: str | No
                     rules: LineRules = LineRules()) -> DataFrame:
     """``docs`` without rejected documents, and their texts without the lines that fail.
 
-    Columns and types are unchanged; ``count_col``, where there is one, gets the new length.
+    Columns and types are unchanged; ``count_col``, where there is one, gets the new length. Null,
+    empty and blank texts have no words and are rejected. Every row is judged by itself: repeated
+    rows stay repeated, ids do not matter, an empty table stays empty.
     """
     ship_package(docs.sparkSession)
     count = count_col if count_col in docs.columns else None

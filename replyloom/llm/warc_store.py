@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import Scratch, byte_slices, field, frame
+from replyloom.llm.common import Scratch, byte_slices, frame
 from replyloom.llm.files import make_folder, open_folder
 from replyloom.operators.keys import lookup_join
 from replyloom.session import ship_package
