@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import Scratch
+from replyloom.operators.keys import lookup_join
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, F.col("a") == F.col("node")).select(
+    return lookup_join(both.filter("b > a"), least, "a", "node").select(
         F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
@@ -27,7 +28,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Every neighbour not larger than a node, and the node, go to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), "m")
-    hung = down.join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), "m")
+    hung = lookup_join(down, least, "a", "node").select(F.col("b").alias("a"), "m")
     own = least.select(F.col("node").alias("a"), "m")
     return hung.unionByName(own).select("a", F.col("m").alias("b")).filter("a <> b").distinct()
 
