@@ -16,11 +16,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import Scratch, byte_slices, field, frame, signed
@@ -74,9 +73,12 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return scratch.finish(_named(scratch, docs, id_col, text_col, block_bytes))
 
 
-def _named(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str,
-           block_bytes: int) -> DataFrame:
+def _named(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, block_bytes: int,
+           row: Column | None = None) -> DataFrame:
+    """``row`` is a stored number of each row; else rows are numbered here."""
+    row = F.monotonically_increasing_id() if row is None else row
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    with_row = docs.select(row.alias("row_id"), F.col(id_col), F.col(text_col).alias("text"))
     seed = 0
     while True:
         names = scratch.write(_numbered(
@@ -88,8 +90,7 @@ def _named(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str,
             break
         seed += 1
     rows = scratch.write(
-        texts.withColumn("row_id", F.monotonically_increasing_id())
-        .mapInArrow(lambda it: _rows_of(it, id_col, block_bytes, seed),
+        with_row.mapInArrow(lambda it: _rows_of(it, id_col, block_bytes, seed),
                     f"row_id long, {field(texts, id_col)}, text_sha256 string, keys array<long>"),
         "rows")
     most = rows.agg(F.max(F.size("keys"))).first()[0] or 1
@@ -134,33 +135,37 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty result.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    named = scratch.write(
-        _named(scratch, docs, id_col, text_col, block_bytes)
-        .withColumn("identity", F.struct("n_blocks", "name")), "named")
+    judged = _judged(scratch, _named(scratch, docs, id_col, text_col, block_bytes), id_col)
+    return scratch.finish(judged.select(id_col, "keep_id", "group_size", "kept", "text_sha256"))
+
+
+def _judged(scratch: Scratch, named: DataFrame, id_col: str) -> DataFrame:
+    """Named rows with ``keep_id``, ``group_size`` and ``kept``."""
+    named = scratch.write(named.withColumn("identity", F.struct("n_blocks", "name")), "named")
     groups = named.groupBy(F.col("identity").alias("group")).agg(
         F.count("*").alias("group_size"),
         F.max(F.struct(F.col(id_col).alias("id"), "row_id")).alias("best"))
     # A group may hold a third of all rows: a join that AQE can split.
-    return scratch.finish(
-        lookup_join(named, groups, "identity", "group").select(
-            id_col, F.col("best.id").alias("keep_id"), "group_size",
-            (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256"))
+    return lookup_join(named, groups, "identity", "group").select(
+        "row_id", id_col, F.col("best.id").alias("keep_id"), "group_size",
+        (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept.
 
-    A row stays when its id and text are those of the row that its group keeps, so documents that
-    share an id but not a text are told apart. Of rows repeated with the same id and text one
-    stays.
+    The row with the largest id stays, as in :func:`exact_dedup`; null text counts as empty and a
+    null id is the smallest. Rows are told apart by the numbers of a written copy, so ids may
+    repeat and column names do not matter; of equal rows one stays. An empty table stays empty.
     """
-    stay = exact_dedup(docs, id_col, text_col, block_bytes).filter("kept").select(
-        F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase)
-    keyed = docs.withColumn("__sha", F.sha2(low, 256))
-    kept = keyed.join(stay, keyed[id_col].eqNullSafe(stay["__keep_id"])
-                      & (keyed["__sha"] == stay["__keep_sha"]))
-    first = Window.partitionBy("__keep_id", "__keep_sha").orderBy("__sha")
-    return (kept.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1")
-            .select(*docs.columns))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    scratch = Scratch(docs.sparkSession, "drop-copies")
+    copy = scratch.write(
+        docs.toDF(*at.values()).withColumn("row", F.monotonically_increasing_id()), "docs")
+    named = _named(scratch, copy, at[id_col], at[text_col], block_bytes, F.col("row"))
+    gone = scratch.write(
+        _judged(scratch, named, at[id_col]).filter(~F.col("kept")).select("row_id"), "gone")
+    # The dropped rows are the narrow side; a small one is broadcast, once its size is known.
+    kept = copy.join(gone, F.col("row") == F.col("row_id"), "left_anti")
+    return kept.select(*at.values()).toDF(*docs.columns)

@@ -5,11 +5,14 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from replyloom.llm import jaccard
 from replyloom.llm.block_naming import drop_copies, exact_dedup
 from replyloom.llm.components import connected_components
 from replyloom.llm.common import Scratch
@@ -127,7 +130,7 @@ def near_rows(seed, n):
 def test_jaccard_components_against_brute_force(spark, size, percent):
     rows = near_rows(size, 240)
     expected = brute_components(rows, size, percent)
-    got = shingle_classes(docs_of(spark, rows), size=size, percent=percent, frequent_share=0.02)
+    got = shingle_classes(docs_of(spark, rows), size=size, percent=percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == expected
 
 
@@ -143,6 +146,35 @@ def test_jaccard_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
 
 
+def test_one_row_of_each_group_stays_when_ids_repeat_or_are_null(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = [(3, near), (5, other), (5, near + " z"), (7, near + " y"), (7, near + " x")]
+    kept = keep_one_per_group(docs_of(spark, rows))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, near), (5, other)]
+    rows = [(3, near), (3, near), (3, near + " y"), (None, near), (None, other)]
+    kept = keep_one_per_group(docs_of(spark, rows)).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {3, None}
+    assert keep_one_per_group(docs_of(spark, [])).count() == 0
+
+
+def test_prefix_order_follows_the_counts_of_the_whole_table(spark):
+    """Tokens that only one document has make no postings, however small the counted ranges."""
+    sent = [jaccard._slice_tokens(frame, 1, bits) for bits in (0, 3) for frame in [pd.DataFrame(
+        {"slice": [8, 8], "text": ["a b c c", "b"]})]]
+    for frame in sent:
+        counted = jaccard._count_range(frame) if len(frame["range"].unique()) == 1 else pd.concat(
+            jaccard._count_range(g) for _, g in frame.groupby("range"))
+        codes = b"".join(counted.sort_values("range")["codes"])
+        tokens, counts = jaccard._distinct_tokens(jaccard._tokens_of(
+            pd.DataFrame({"text": ["a b c c", "b"]}), 1))
+        assert list(codes) == counts.tolist() and sorted(codes) == [1, 1, 2]
+    counts = np.array([1, 2, 127, 128, 300, 10 ** 6, 10 ** 12])
+    decoded = jaccard.COUNT_OF[jaccard._codes(counts)]
+    assert (np.diff(decoded) > 0).all() and (decoded[:3] == counts[:3]).all()
+    assert (np.abs(decoded[3:6] / counts[3:6] - 1.1) < 0.11).all()
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (200, 200)]
     scratch = Scratch(spark, "test")
@@ -361,3 +393,45 @@ def test_pipeline_stages(spark):
         if name != "pack":
             assert out.columns == columns
             docs = spark.createDataFrame(rows, docs.schema)
+
+
+FULL = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n=80):
+    rng = random.Random(seed)
+    return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)) + "."
+
+
+def test_stages_tell_rows_apart_by_more_than_their_ids(spark):
+    one, two = prose(1), prose(2)
+    rows = [(1, one, "en", "s", 1), (1, two, "en", None, 1), (1, one, "en", "s", 1),
+            (None, one.upper(), "en", "s", 1), (None, None, None, None, None), (None, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, FULL)
+    kept = drop_copies(docs).collect()
+    assert sorted(str(r.text) for r in kept if r.text) == sorted([one, two])
+    assert len(kept) == 3 and {r.doc_id for r in kept} == {1, None}  # null and empty are one text
+    clean = clean_documents(docs).collect()
+    assert sorted(r.text for r in clean) == sorted([one, one, two, one.upper()])
+    assert all(r.n_chars == len(r.text) for r in clean)
+    mixed = mix_documents(docs).collect()
+    assert mixed and {r.text for r in mixed} <= {one, two, one.upper()} | {
+        t[:t.rindex(" ", 0, i)] for t in (one, two, one.upper()) for i in range(3, len(t)) if " " in t[:i]}
+    for stage in (drop_copies, clean_documents, mix_documents, keep_one_per_group):
+        empty = stage(docs.limit(0))
+        assert empty.count() == 0 and empty.columns == docs.columns
+    assert pack_documents(docs.limit(0)).count() == 0
+
+
+def test_pipeline_on_repeated_and_missing_ids(spark, tmp_path):
+    texts = [prose(i) for i in range(6)]
+    near = texts[0] + " z1 z2"
+    rows = [(i % 3 if i else None, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)]
+    rows += [(7, texts[1], "en", "s1", 1), (7, near, "en", "s1", 1), (7, None, "en", "s1", 1)]
+    spark.createDataFrame(rows, FULL).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Of equal texts the row with the largest id stays, of near ones that with the smallest.
+    assert {r.doc_id for r in out} == {0, 1, 2, 7}
+    nothing = tmp_path / "none"
+    spark.createDataFrame([], FULL).write.parquet(str(nothing / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(nothing)).count() == 0
