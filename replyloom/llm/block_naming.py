@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import Scratch, byte_slices, field, frame, signed
@@ -73,12 +74,9 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return scratch.finish(_named(scratch, docs, id_col, text_col, block_bytes))
 
 
-def _named(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, block_bytes: int,
-           row: Column | None = None) -> DataFrame:
-    """``row`` is a stored number of each row; else rows are numbered here."""
-    row = F.monotonically_increasing_id() if row is None else row
+def _named(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str,
+           block_bytes: int) -> DataFrame:
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    with_row = docs.select(row.alias("row_id"), F.col(id_col), F.col(text_col).alias("text"))
     seed = 0
     while True:
         names = scratch.write(_numbered(
@@ -90,7 +88,8 @@ def _named(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, block_
             break
         seed += 1
     rows = scratch.write(
-        with_row.mapInArrow(lambda it: _rows_of(it, id_col, block_bytes, seed),
+        texts.withColumn("row_id", F.monotonically_increasing_id())
+        .mapInArrow(lambda it: _rows_of(it, id_col, block_bytes, seed),
                     f"row_id long, {field(texts, id_col)}, text_sha256 string, keys array<long>"),
         "rows")
     most = rows.agg(F.max(F.size("keys"))).first()[0] or 1
@@ -156,16 +155,22 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group of equal texts, all columns kept.
 
     The row with the largest id stays, as in :func:`exact_dedup`; null text counts as empty and a
-    null id is the smallest. Rows are told apart by the numbers of a written copy, so ids may
-    repeat and column names do not matter; of equal rows one stays. An empty table stays empty.
+    null id is the smallest. Rows are told apart by id and text, so ids may repeat; of rows that
+    repeat both one stays. An empty table stays empty.
     """
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     scratch = Scratch(docs.sparkSession, "drop-copies")
-    copy = scratch.write(
-        docs.toDF(*at.values()).withColumn("row", F.monotonically_increasing_id()), "docs")
-    named = _named(scratch, copy, at[id_col], at[text_col], block_bytes, F.col("row"))
-    gone = scratch.write(
-        _judged(scratch, named, at[id_col]).filter(~F.col("kept")).select("row_id"), "gone")
-    # The dropped rows are the narrow side; a small one is broadcast, once its size is known.
-    kept = copy.join(gone, F.col("row") == F.col("row_id"), "left_anti")
-    return kept.select(*at.values()).toDF(*docs.columns)
+    judged = _judged(scratch, _named(scratch, docs, id_col, text_col, block_bytes), id_col)
+    # One row for each id and text: what is stored is narrow, whatever the texts.
+    known = scratch.finish(judged.groupBy(
+        F.col(id_col).alias("__id"), F.col("text_sha256").alias("__text")).agg(
+        F.count("*").alias("rows"), F.max("kept").alias("stays")))
+    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase)
+    keyed = docs.withColumn("__sha", F.sha2(low, 256))
+    gone = known.filter(~F.col("stays"))
+    kept = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__id"])
+                      & (keyed["__sha"] == gone["__text"]), "left_anti")
+    if known.filter("stays AND rows > 1").limit(1).count():
+        # Rows that repeat id and text have to be told apart.
+        first = Window.partitionBy(id_col, "__sha").orderBy("__sha")
+        kept = kept.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1")
+    return kept.select(*docs.columns)

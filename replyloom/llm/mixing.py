@@ -16,10 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from replyloom.llm.common import Scratch, byte_slices, count_words
+from replyloom.llm.common import Scratch, byte_slices, count_words, frame, signed
+from replyloom.session import ship_package
 
 #: 2**64 / golden ratio, odd: multiples of it modulo 2**64 are the golden-ratio points.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -131,9 +134,8 @@ def _ranks_needed(share: SourceShare, block_words: int) -> int:
 
 
 def _placed(scratch: Scratch, counted: DataFrame, id_col: str, source_col: str,
-            shares: DataFrame, row_col: str | None) -> DataFrame:
+            shares: DataFrame) -> DataFrame:
     """Every row with the place where it starts in its source's shuffled text."""
-    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     n_docs = counted.count()
     bits = max(0, (max(1, n_docs // BUCKET_DOCS) - 1).bit_length())
     rows = counted.join(F.broadcast(shares), counted[source_col].eqNullSafe(shares["share_source"]))
@@ -150,27 +152,22 @@ def _placed(scratch: Scratch, counted: DataFrame, id_col: str, source_col: str,
             .join(offsets, (F.col("source_ix") == F.col("o_ix"))
                   & (F.col("bucket") == F.col("o_bucket")))
             .select(id_col, source_col, "text_key", "n_words", "source_ix", "source_size",
-                    "target", "goal", (F.col("before") + F.col("own")).alias("start"),
-                    row.alias("row_id")))
+                    "target", "goal", (F.col("before") + F.col("own")).alias("start"))
+            .withColumn("row_id", F.monotonically_increasing_id()))
 
 
 def _mixed(scratch: Scratch, docs: DataFrame, id_col: str, source_col: str, text_col: str,
-           weights: Sequence[float], block_words: int, max_repeats: int,
-           row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """All rows with their source's figures, and the pieces that the slots take.
-
-    ``row_col`` is a stored number of each row; without it rows are numbered here.
-    """
+           weights: Sequence[float], block_words: int,
+           max_repeats: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their source's figures, and the pieces that the slots take."""
     spark = scratch.spark
-    keep = [id_col, source_col] + ([row_col] if row_col else [])
-    counted = scratch.write(count_words(docs, keep, text_col), "counted")
+    counted = scratch.write(count_words(docs, [id_col, source_col], text_col), "counted")
     shares = _shares(counted, source_col, weights, max_repeats)
     kind = docs.schema[source_col].dataType.simpleString()
     table = spark.createDataFrame(
         [(i, s.source, s.size, s.target, s.words) for i, s in enumerate(shares)],
         f"source_ix int, share_source {kind}, source_size long, target double, goal long")
-    placed = scratch.write(
-        _placed(scratch, counted, id_col, source_col, table, row_col), "placed")
+    placed = scratch.write(_placed(scratch, counted, id_col, source_col, table), "placed")
     pieces = placed.filter("n_words > 0").select(
         "row_id", id_col, "source_ix", "source_size", "goal", "start", "n_words",
         F.explode(F.sequence(F.expr(f"start div {block_words}"),
@@ -213,17 +210,16 @@ def mix_amounts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     return scratch.finish(_amounts(scratch, docs, id_col, source_col, text_col, weights,
-                                   block_words, max_repeats).drop("row_id"))
+                                   block_words, max_repeats).drop("text_key"))
 
 
 def _amounts(scratch: Scratch, docs: DataFrame, id_col: str, source_col: str, text_col: str,
-             weights: Sequence[float], block_words: int, max_repeats: int,
-             row_col: str | None = None) -> DataFrame:
+             weights: Sequence[float], block_words: int, max_repeats: int) -> DataFrame:
     placed, taken = _mixed(scratch, docs, id_col, source_col, text_col, weights, block_words,
-                           max_repeats, row_col)
+                           max_repeats)
     sums = taken.groupBy("row_id").agg(F.sum("words").alias("taken"))
     return placed.join(sums, "row_id", "left").select(
-        "row_id", id_col, F.col("n_words").alias("size"), "source_size", "target",
+        id_col, "text_key", F.col("n_words").alias("size"), "source_size", "target",
         F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -241,8 +237,8 @@ def _first_words(text: bytes, n: int) -> bytes:
 def _copies(batches: Iterable[pa.RecordBatch], names: list[str], text_col: str,
             count_col: str | None) -> Iterator[pa.RecordBatch]:
     for part, texts in byte_slices(batches, text_col):
-        taken = part.column(part.schema.get_field_index("taken")).to_pylist()
-        sizes = part.column(part.schema.get_field_index("size")).to_pylist()
+        taken = part.column(part.schema.get_field_index("__taken")).to_pylist()
+        sizes = part.column(part.schema.get_field_index("__size")).to_pylist()
         rows, out = [], []
         for i, (text, n, size) in enumerate(zip(texts, taken, sizes)):
             full, rest = divmod(n, size)
@@ -267,22 +263,39 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     """The mixed documents, with the columns of ``docs``.
 
     A document comes as often as the mix takes it; where only a part is taken, that row has the
-    first words of its text. Documents of which nothing is taken go. Rows are told apart by the
-    numbers of a written copy, so ids and texts may repeat or be null and column names do not
-    matter. An empty table stays empty.
+    first words of its text. Documents of which nothing is taken go. Rows are told apart by id and
+    text, so ids may repeat or be null; rows that repeat both share what is taken of them. An empty
+    table stays empty.
     """
-    names = docs.columns
-    at = {c: f"c{i}" for i, c in enumerate(names)}
     scratch = Scratch(docs.sparkSession, "mixing")
-    copy = scratch.write(
-        docs.toDF(*at.values()).withColumn("row", F.monotonically_increasing_id()), "docs")
-    amounts = scratch.write(
-        _amounts(scratch, copy, at[id_col], at[source_col], at[text_col], weights, block_words,
-                 max_repeats, "row").filter("taken > 0").select("row_id", "taken", "size"),
-        "amounts")
-    joined = copy.join(amounts, F.col("row") == F.col("row_id"))
-    columns = list(at.values())
-    count = at[count_col] if count_col in at else None
-    return joined.select(*columns, "taken", "size").mapInArrow(
-        lambda it: _copies(it, columns, at[text_col], count),
-        copy.select(*columns).schema).toDF(*names)
+    # One row for each id and text: what is stored is narrow, whatever the texts.
+    amounts = scratch.finish(
+        _amounts(scratch, docs, id_col, source_col, text_col, weights, block_words, max_repeats)
+        .groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"))
+        .agg(F.sum("taken").alias("__taken"), F.first("size").alias("__size"),
+             F.count("*").alias("__rows")).filter("__taken > 0"))
+    ship_package(docs.sparkSession)
+    keyed = _with_key(docs, text_col)
+    joined = keyed.join(amounts, keyed[id_col].eqNullSafe(amounts["__id"])
+                        & (keyed["__text_key"] == amounts["__key"]))
+    if amounts.filter("__rows > 1").limit(1).count():
+        # Rows that repeat id and text: one of them stands for all.
+        one = Window.partitionBy("__id", "__key").orderBy("__text_key")
+        joined = joined.withColumn("__rank", F.row_number().over(one)).filter("__rank = 1")
+    names = docs.columns
+    count = count_col if count_col in names else None
+    return joined.select(*names, "__taken", "__size").mapInArrow(
+        lambda it: _copies(it, names, text_col, count), docs.schema)
+
+
+def _with_key(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__text_key``, the hash that :func:`count_words` gives."""
+    names = docs.columns
+
+    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in byte_slices(batches, text_col):
+            yield frame(part, names, {"__text_key": pa.array(
+                [signed(xxhash.xxh3_64_intdigest(t)) for t in texts], pa.int64())})
+
+    schema = StructType([*docs.schema.fields, StructField("__text_key", LongType())])
+    return docs.mapInArrow(keyed, schema)
