@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from replyloom import constants as K
-from replyloom.operators.cells import CellIndex, visit
-from replyloom.operators.retrieve import BLOCK_ROWS, _SCALE, _matrix, _query_side, _ranked
+from replyloom.operators.cells import CellIndex, stored_cells, visit
+from replyloom.operators.meeting import _SCALE, _matrix
+from replyloom.operators.retrieve import BLOCK_ROWS, _query_side, _ranked
 from replyloom.schemas import HITS
 from replyloom.session import materialise, ship_package
 
@@ -40,6 +41,18 @@ class Radii:
         reach = np.linalg.norm(queries, axis=1)[:, None] * self.radii
         return queries @ self.centres.T + reach
 
+    def chosen(self, queries: np.ndarray, least: np.ndarray | None, rest: bool) -> np.ndarray:
+        """Which cells each query visits: the first ones, or all others that can reach ``least``."""
+        bounds = self.bounds(queries)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        chosen = np.zeros(bounds.shape, bool)
+        np.put_along_axis(chosen, order[:, :FIRST_CELLS], True, axis=1)
+        if rest:
+            # Similarities are compared rounded; a null asks for everything.
+            reach = bounds + 1 / _SCALE >= np.where(np.isnan(least), -np.inf, least)[:, None]
+            chosen = reach & ~chosen
+        return chosen
+
 
 def measure_radii(index: CellIndex, stored: DataFrame) -> Radii:
     """One pass over the stored rows; a row per cell reaches the driver."""
@@ -66,38 +79,44 @@ def measure_radii(index: CellIndex, stored: DataFrame) -> Radii:
 
 
 def _visits(queries: DataFrame, radii: Radii, rest: bool) -> DataFrame:
-    """One row per query and cell: the first cells, or all others that can reach ``least``."""
+    """One row per query and cell that it visits, to count them; the search makes no such rows."""
     ship_package(queries.sparkSession)
     shared = queries.sparkSession.sparkContext.broadcast(radii)
     schema = T.StructType([*queries.schema.fields,
                            T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            known = shared.value
-            bounds = known.bounds(_matrix(batch.column(batch.schema.get_field_index("embedding"))))
-            order = np.argsort(-bounds, axis=1, kind="stable")
-            chosen = np.zeros(bounds.shape, bool)
-            np.put_along_axis(chosen, order[:, :FIRST_CELLS], True, axis=1)
-            if rest:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch, known = whole.slice(lo, 512), shared.value
                 least = batch.column(batch.schema.get_field_index("least")).to_numpy(
-                    zero_copy_only=False).astype(float)
-                # Similarities are compared rounded; a null asks for everything.
-                reach = bounds + 1 / _SCALE >= np.where(np.isnan(least), -np.inf, least)[:, None]
-                chosen = reach & ~chosen
-            row, at = np.nonzero(chosen)
-            ends = np.searchsorted(row, np.arange(len(bounds) + 1)).astype(np.int32)
-            cells = pa.ListArray.from_arrays(
-                pa.array(ends), pa.array(known.cells[at].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, cells],
-                                             names=[*batch.schema.names, "cells"])
+                    zero_copy_only=False).astype(float) if rest else None
+                chosen = known.chosen(
+                    _matrix(batch.column(batch.schema.get_field_index("embedding"))), least, rest)
+                row, at = np.nonzero(chosen)
+                ends = np.searchsorted(row, np.arange(len(chosen) + 1)).astype(np.int32)
+                cells = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(known.cells[at].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, cells],
+                                                 names=[*batch.schema.names, "cells"])
 
     return queries.mapInArrow(run, schema).select(
         "query_id", "exclude_id", "embedding", F.explode("cells").alias("cell"))
 
 
+def _visiting(spark, radii: Radii, rest: bool):
+    """The choice of :meth:`Radii.chosen` by cell number, for :func:`cells.visit`."""
+    shared = spark.sparkContext.broadcast(radii)
+
+    def chosen(vectors: np.ndarray, least: np.ndarray | None) -> np.ndarray:
+        known = shared.value
+        visited = np.zeros((len(vectors), int(known.cells.max()) + 1), bool)
+        visited[:, known.cells] = known.chosen(vectors, least, rest)
+        return visited
+
+    return chosen
+
+
 @dataclass(frozen=True)
 class PrunedSearch:
     """Hits, and how many of all (query, row) products were computed for them."""
@@ -120,8 +139,8 @@ def pruned_search(queries: DataFrame, index: CellIndex, encoder: str, k: int = K
                   block_rows: int = BLOCK_ROWS) -> PrunedSearch:
     """The rows of :func:`replyloom.operators.retrieve.knn_exact` from a stored index.
 
-    ``encoder`` has to be the index's own. Queries and rows meet once per visited cell, so what is
-    shuffled follows the visits and not the product of both sides.
+    ``encoder`` has to be the index's own. Which cells a query visits is found in the task that
+    holds it, so what is shuffled follows the queries and not their visits.
     """
     if encoder != index.encoder:
         raise ValueError(f"queries are encoded by {encoder!r}, the index by {index.encoder!r}")
@@ -133,12 +152,14 @@ def pruned_search(queries: DataFrame, index: CellIndex, encoder: str, k: int = K
         none = spark.createDataFrame([], HITS)
         nowhere = Radii(np.zeros(0, int), index.centres[:0], np.zeros(0), np.zeros(0, int))
         return PrunedSearch(_ranked(none, k), asked.withColumn("cell", F.lit(0)).limit(0), nowhere)
-    first = materialise(_visits(asked, radii, rest=False))
-    hits = materialise(_ranked(visit(first, index, k, block_rows), k))
+    rows = stored_cells(index, spark)
+    hits = materialise(_ranked(visit(asked, rows, _visiting(spark, radii, False), k, block_rows), k))
     least = hits.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("least"))
-    more = materialise(_visits(asked.join(least, "query_id", "left"), radii, rest=True))
-    found = hits.drop("rank").unionByName(visit(more, index, k, block_rows))
-    return PrunedSearch(_ranked(found, k), first.unionByName(more), radii)
+    again = asked.join(least, "query_id", "left")
+    found = hits.drop("rank").unionByName(
+        visit(again, rows, _visiting(spark, radii, True), k, block_rows))
+    visits = _visits(asked, radii, False).unionByName(_visits(again, radii, True))
+    return PrunedSearch(_ranked(found, k), visits, radii)
 
 
 def knn_pruned(queries: DataFrame, index: CellIndex, encoder: str, k: int = K.TOP_K, *,
