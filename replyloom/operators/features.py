@@ -50,21 +50,71 @@ def _with_terms(df: DataFrame, text: str, sizes: Sequence[int]) -> DataFrame:
                                                              ).drop("__words")
 
 
+#: Words whose terms are counted at a time inside a task, and what such a count holds.
+_COUNTED_WORDS = 1_000_000
+_TERM_COUNTS = struct(term=T.StringType(), n_total=T.LongType(), n_docs=T.LongType())
+
+
+def _term_counts(lists: pa.ListArray, sizes: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """How often each term of some documents occurs, and in how many of them, from their words.
+
+    Words are numbered, and a longer term is the number of the term before its last word and that
+    word's number; texts are made for distinct terms only.
+    """
+    coded = lists.flatten().dictionary_encode()
+    word = coded.indices.to_numpy().astype(np.int64)
+    row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    row -= row[0] if len(row) else 0
+    n_rows = int(row[-1]) + 1 if len(row) else 1
+    words, code, whole = coded.dictionary, word, np.arange(len(row))
+    texts, n_words = words, max(1, len(words))
+    for size in range(1, max(sizes) + 1):
+        key = code
+        if size > 1:
+            # The terms that start at each place and end in the same document.
+            whole = whole[:np.searchsorted(whole, len(row) - size + 1)]
+            whole = whole[row[whole] == row[whole + size - 1]]
+            key = code[whole] * n_words + word[whole + size - 1]
+        # Sorted with their documents, the first of equal neighbours counts the document.
+        both = np.sort(key * n_rows + row[whole])
+        term = both // n_rows
+        opens = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(both) else np.zeros(0, int)
+        names = term[opens]
+        if size > 1:
+            texts = pc.binary_join_element_wise(texts.take(pa.array(names // n_words)),
+                                                words.take(pa.array(names % n_words)), " ")
+            if size < max(sizes):
+                code = np.zeros(len(row), np.int64)
+                code[whole] = np.searchsorted(names, key)
+        if size in sizes and len(both):
+            once = np.r_[True, both[1:] != both[:-1]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [texts, pa.array(np.diff(np.r_[opens, len(both)])),
+                 pa.array(np.add.reduceat(once, opens))], names=_TERM_COUNTS.names)
+
+
 def vocabulary(df: DataFrame, text: str = "text", size: int = K.TFIDF_VOCABULARY,
                sizes: Sequence[int] = (1, 2)) -> DataFrame:
     """The ``size`` most frequent terms with their idf, ``ln((1+n)/(1+df)) + 1``; ties by term.
 
-    One pass: a document's terms are sorted inside the row, so the first of equal neighbours
-    counts the document and every one counts the term.
+    One pass: a task adds up the terms of many documents before anything is shuffled.
     """
-    docs = _with_terms(df.select(text), text, sizes).select(F.sort_array("terms").alias("terms"))
-    before = F.concat(F.array(F.lit(None).cast("string")),
-                      F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))))
-    flagged = F.zip_with("terms", before, lambda t, p: F.struct(
-        t.alias("term"), F.when(t == p, 0).otherwise(1).alias("opens")))
-    # The outer form keeps Spark from computing the arrays once more in an inferred filter.
-    top = (docs.select(F.inline_outer(flagged)).where("term IS NOT NULL")
-           .groupBy("term").agg(F.count(F.lit(1)).alias("n_total"), F.sum("opens").alias("n_docs"))
+    ship_package(df.sparkSession)
+    sizes = tuple(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            ends = np.r_[0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(
+                zero_copy_only=False).astype(np.int64))]
+            lo = 0
+            while lo < len(lists):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _COUNTED_WORDS, "right")) - 1)
+                yield from _term_counts(lists.slice(lo, hi - lo), sizes)
+                lo = hi
+
+    top = (df.select(tokens(text).alias("words")).mapInArrow(run, _TERM_COUNTS).groupBy("term")
+           .agg(F.sum("n_total").alias("n_total"), F.sum("n_docs").alias("n_docs"))
            .orderBy(F.col("n_total").desc(), "term").limit(size))
     n_docs = df.count()
     return top.withColumn("idf", F.log(F.lit(1.0 + n_docs) / (F.col("n_docs") + 1)) + 1)

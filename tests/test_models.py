@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import executed_plan
 from replyloom import schemas
+from replyloom.operators import features
 from replyloom.functions.rules import keyword_intent, safety_match
 from replyloom.operators import classify as C, features as T, scoring as S
 from replyloom.operators.evaluate import judge_summary
@@ -221,3 +222,37 @@ def test_workers_need_no_installed_package(tmp_path):
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True,
                           timeout=300)
     assert done.stdout.split() == ["200", "1500", "10000"], done.stderr[-2000:]
+
+
+def test_terms_are_added_up_before_the_shuffle(spark):
+    from test_search_costs import shuffled_rows
+
+    rows = [("alpha beta alpha beta",)] * 400 + [("beta Gamma",), (None,), ("",), ("x",)]
+    df = spark.createDataFrame(rows, "text string").coalesce(1)
+    vocab = features.vocabulary(df, size=10)
+    got = {r["term"]: (r["n_total"], r["n_docs"]) for r in vocab.collect()}
+    assert got == {"alpha": (800, 400), "beta": (801, 401), "alpha beta": (800, 400), "beta alpha": (400, 400),
+                   "gamma": (1, 1), "beta gamma": (1, 1)}
+    # No row is made for every term of every document.
+    assert "Generate" not in executed_plan(vocab) and shuffled_rows(vocab) <= 30
+    again = features.vocabulary(spark.createDataFrame([(None,)], "text string"), size=10)
+    assert again.isEmpty()
+
+
+def test_terms_of_any_size_are_counted_within_their_document(spark, monkeypatch):
+    monkeypatch.setattr(features, "_COUNTED_WORDS", 7)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"], n)) for n in rng.integers(0, 12, 60)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    for sizes in ((1, 2), (3,), (1, 3)):
+        total, docs = {}, {}
+        for t in texts:
+            words = (t or "").split()
+            terms = [" ".join(words[i:i + n]) for n in sizes for i in range(len(words) - n + 1)]
+            for term in terms:
+                total[term] = total.get(term, 0) + 1
+            for term in set(terms):
+                docs[term] = docs.get(term, 0) + 1
+        got = {r["term"]: (r["n_total"], r["n_docs"]) for r in features.vocabulary(
+            df, size=1000, sizes=sizes).collect()}
+        assert got == {t: (total[t], docs[t]) for t in total}
