@@ -97,3 +97,9 @@ def test_a_block_holds_few_candidates():
     for i in range(50):
         order = sorted(range(len(stored)), key=lambda j: (-score[i, j], j))[:5]
         assert {h["pair_id"] for h in hits if h["query_id"] == f"q{i}"} == {f"p{j:05d}" for j in order}
+
+
+def test_probes_of_buckets_are_no_rows(corpus, queries):
+    found = R.knn_lsh(queries, corpus, 3, tables=4, bits=2, complete=False)
+    assert shuffled_rows(found) <= N * (1 + 3 * 3)
+    assert found.groupBy("query_id", "pair_id").count().where("count > 1").isEmpty()
