@@ -48,22 +48,23 @@ def _replies(messages: DataFrame, brand: str) -> DataFrame:
 def _parents(messages: DataFrame, replies: DataFrame, order_by: Order) -> DataFrame:
     """First row of every message id that the replies refer to, text not yet cleaned.
 
-    Other messages leave before the choice of the first row, which reuses the partitioning by id
-    of this semi-join; Spark broadcasts the ids where it has measured that they are few.
+    Other messages leave before the choice of the first row. The ids are the narrow side, so they
+    are hashed in each task and the messages pass by them unsorted; only those that stay are sorted.
     """
-    order = [c.alias(f"__o{i}") for i, c in enumerate(_cols(order_by))]
+    carried = {"tweet_id": "customer_tweet_id", "inbound": "parent_inbound", "text": "parent_text",
+               "created_at": "created_at"}
+    # An order column that is carried anyway is not copied.
+    order = [carried[c] if isinstance(c, str) and c in carried else f"__o{i}"
+             for i, c in enumerate(order_by)]
+    copies = {name: c for name, c in zip(order, _cols(order_by)) if name.startswith("__o")}
     candidates = messages.select(
-        F.col("tweet_id").alias("customer_tweet_id"),
-        F.col("inbound").alias("parent_inbound"),
-        F.col("text").alias("parent_text"),
-        "created_at",
-        *order,
+        *[F.col(c).alias(name) for c, name in carried.items()],
+        *[c.alias(name) for name, c in copies.items()],
     )
     wanted = replies.where(F.col("parent_id").isNotNull()).select("parent_id").distinct()
-    candidates = candidates.join(
-        wanted, candidates.customer_tweet_id == wanted.parent_id, "left_semi")
-    names = [f"__o{i}" for i in range(len(order))]
-    return first_by_key(candidates, ["customer_tweet_id"], names).drop(*names)
+    candidates = candidates.join(wanted.hint("shuffle_hash"),
+                                 candidates.customer_tweet_id == wanted.parent_id, "left_semi")
+    return first_by_key(candidates, ["customer_tweet_id"], order).drop(*copies)
 
 
 def join_parent(messages: DataFrame, brand: str, order_by: Order, how: str = "inner", *,

@@ -98,6 +98,28 @@ def test_hot_key_is_split(spark, conf, how):
     assert "skew=true" in plan
 
 
+def test_candidates_are_not_sorted_and_carry_each_column_once(spark, conf, messages):
+    conf({"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "2000"})
+    half = messages.where("seq < 12").unionByName(messages.where("seq >= 12"))
+    order = ("tweet_id", "created_at", "text")
+    for frame in (build_pairs(half, "b", order), drop_report(half, "b", order)):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        # The filter by wanted ids hashes them; each half of the messages passes by unsorted.
+        semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+        assert len(semi) == 2 and all("ShuffledHashJoin" in line for line in semi)
+        assert "__o" not in plan
+    rows = build_pairs(half, "b", order).collect()
+    assert sorted((r["pair_id"], r["brand_reply"]) for r in rows) == [
+        ("1_2", "second row of reply 2"), ("1_2", "try again"), ("21_7", "first copy is the customer")]
+
+
+def test_first_row_by_carried_and_by_copied_columns(messages):
+    def pairs(*order):
+        return sorted(r["pair_id"] for r in build_pairs(messages, "b", order).collect())
+    assert pairs("text", "seq") == pairs("inbound", "seq") == ["1_2", "1_2"]
+    assert pairs(-F.col("seq")) == ["1_2", "1_2", "20_6"]
+
+
 def test_repeated_ids_are_limited_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     firsts = first_by_key(df, ["k"], ["id"])
