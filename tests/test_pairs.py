@@ -98,6 +98,23 @@ def test_hot_key_is_split(spark, conf, how):
     assert "skew=true" in plan
 
 
+def test_rows_without_a_key_are_spread(spark, conf):
+    conf({"spark.sql.autoBroadcastJoinThreshold": "-1",
+          "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+          "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    left = spark.range(0, 4000, 1, 4).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), F.col("id").alias("v"),
+        F.create_map(F.lit("a"), "id").alias("m"))
+    right = spark.range(100).select(F.col("id").alias("rk"), F.lit("x").alias("o"))
+    joined = lookup_join(left, right, "k", "rk", "left")
+    assert joined.columns == ["k", "v", "m", "rk", "o"]
+    rows = joined.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["v"] for r in rows) == list(range(4000))
+    assert {r["v"] for r in rows if r["o"]} == set(range(0, 100, 10))
+    keyless = [r["task"] for r in rows if r["k"] is None]
+    assert max(keyless.count(t) for t in set(keyless)) < len(keyless) / 2
+
+
 def test_candidates_are_not_sorted_and_carry_each_column_once(spark, conf, messages):
     conf({"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "2000"})
     half = messages.where("seq < 12").unionByName(messages.where("seq >= 12"))
